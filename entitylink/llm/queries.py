@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .exact_dedup import op5_exact_dedup
+from .packing import op1_best_fit_packing
 from .sharding import op9_sharding
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_sharding": op9_sharding,
 }
