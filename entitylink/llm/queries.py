@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import op5_exact_dedup
+from .minhash_dedup import op4_minhash_dedup
 from .packing import op1_best_fit_packing
 from .sharding import op9_sharding
 from .token_output import op2_token_output
@@ -10,6 +11,7 @@ from .token_output import op2_token_output
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_output": op2_token_output,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_sharding": op9_sharding,
 }
