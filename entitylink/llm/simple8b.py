@@ -18,43 +18,58 @@ ESCAPE = 0
 _LIMITS = np.array([1 << b for b in range(64)], np.uint64)
 
 
+def _over(values: np.ndarray, shift: int) -> np.ndarray:
+    """The larger of each value and the one `shift` further on in its row."""
+    out = values.copy()
+    np.maximum(values[:, :-shift], values[:, shift:], out=out[:, :-shift])
+    return out
+
+
+def _bits(ids: np.ndarray) -> np.ndarray:
+    if ids.size and int(ids.max()) >= 1 << 24:
+        return np.searchsorted(_LIMITS, ids, "right").astype(np.uint8)
+    return np.frexp(ids.astype(np.float32))[1].astype(np.uint8)
+
+
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words (uint64), and the number of the word at which each frame starts."""
     total = len(ids)
     frames, most = -(-total // FRAME), int(COUNTS.max())
     padded = np.zeros((frames, FRAME + most), np.uint64)
     padded[:, :FRAME].flat[:total] = ids
-    bits = np.searchsorted(_LIMITS, padded, "right").astype(np.uint8)
+    bits = _bits(padded)
     # top[k]: most bits of the 2**k ids from here on
     top = [bits]
     while 2 << len(top) - 1 <= most:
-        half, last = 1 << len(top) - 1, top[-1]
-        top.append(np.maximum(last, np.pad(last[:, half:], ((0, 0), (0, half)))))
-    best = np.full(bits.shape, ESCAPE, np.uint8)
-    for s in range(len(SELECTORS) - 1, ESCAPE, -1):
-        n, width = SELECTORS[s]
+        top.append(_over(top[-1], 1 << len(top) - 1))
+    # Where a selector fits, all later ones fit, as they hold fewer and wider ids: the first one
+    # that fits follows from how many do.
+    fitting = np.zeros(bits.shape, np.uint8)
+    for n, width in SELECTORS[1:]:
         k = n.bit_length() - 1
         rest = n - (1 << k)
-        widest = np.maximum(top[k], np.pad(top[k][:, rest:], ((0, 0), (0, rest)))) if rest else top[k]
-        best[widest <= width] = s
+        fitting += (_over(top[k], rest) if rest else top[k]) <= width
+    best = np.where(fitting, len(SELECTORS) - fitting, ESCAPE).astype(np.uint8)
     # walk all frames together
     end = np.full(frames, FRAME)
     if frames:
         end[-1] = total - (frames - 1) * FRAME
-    at, rows = np.zeros(frames, np.int64), np.arange(frames)
-    taken_rows, taken_at, taken = [], [], []
+    at, rows, flat, steps = np.zeros(frames, np.int64), np.arange(frames), best.reshape(-1), []
+    base = rows * bits.shape[1] if frames else rows
     while len(rows):
-        chosen = best[rows, at[rows]]
-        taken_rows.append(rows)
-        taken_at.append(at[rows])
-        taken.append(chosen)
-        at[rows] += COUNTS[chosen]
-        rows = rows[at[rows] < end[rows]]
-    if not taken:
+        now = np.full(frames, -1)
+        now[rows] = at
+        steps.append(now)
+        at = at + COUNTS[flat[base + at]]
+        going = at < end
+        if not going.all():
+            at, rows, base, end = at[going], rows[going], base[going], end[going]
+    if not steps:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    row, pos, sel = map(np.concatenate, (taken_rows, taken_at, taken))
-    order = np.argsort(row, kind="stable")
-    row, pos, sel = row[order], pos[order], sel[order]
+    walked = np.stack(steps, axis=1)
+    row, step = np.nonzero(walked >= 0)
+    pos = walked[row, step]
+    sel = best[row, pos]
     slots = 1 + (sel == ESCAPE)
     place = np.cumsum(slots) - slots
     words = np.zeros(int(slots.sum()), np.uint64)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Words that a worker's table may hold when a new chunk of texts starts.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 800_000
 #: Bytes of text that are encoded at a time.
 CHUNK_BYTES = 4 << 20
 
@@ -74,39 +74,42 @@ class WordEncoder:
         self.counts = np.empty(0, np.int64)
 
     def _whole(self, text: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+        one = self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0]
+        return np.array(one.ids, np.uint32)
+
+    def _sure(self, words: list[bytes], pre_tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their counts for words with known numbers of pre-tokens: a line each, told
+        apart by the ids that end a pre-token."""
+        ids = self._whole(b"\n".join(words))
+        last = np.flatnonzero(self.ends[ids])[np.cumsum(pre_tokens) - 1]
+        return ids, np.diff(last, prepend=-1)
+
+    def _any(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """For other words: set apart by a special token that none of them holds, which is slower."""
+        ids = self._whole(self.mark.encode().join(words))
+        cuts = np.flatnonzero(ids == self.mark_id)
+        return np.delete(ids, cuts), np.diff(cuts, prepend=-1, append=len(ids)) - 1
 
     def _learn(self) -> None:
-        """Encode the words that are new.
-
-        Words whose number of pre-tokens is certain go a line each in one text, and are told
-        apart by the ids that end a pre-token.  All others are set apart by a special token,
-        which is slower.
-        """
+        """Encode the words that are new."""
         words = self.table.new
-        known = np.array([_pre_tokens(w) for w in words] if self.ends is not None else [0] * len(words))
-        counts = np.zeros(len(words), np.int64)
-        parts = [self.ids]
-        order = np.concatenate((np.flatnonzero(known), np.flatnonzero(known == 0)))
-        plain = int(np.count_nonzero(known))
-        for i in range(0, len(order), 4096):
-            for own in (order[i : min(i + 4096, max(i, plain))], order[max(i, plain) : i + 4096]):
-                if not len(own):
-                    continue
-                if known[own[0]]:
-                    ids = self._whole(b"\n".join([words[k] for k in own]))
-                    last = np.flatnonzero(self.ends[ids])[np.cumsum(known[own]) - 1]
-                    counts[own] = np.diff(np.concatenate(([-1], last)))
-                else:
-                    ids = self._whole(self.mark.encode().join([words[k] for k in own]))
-                    cuts = np.flatnonzero(ids == self.mark_id)
-                    counts[own] = np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1
-                    ids = np.delete(ids, cuts)
+        known = np.array([1 if w.isalpha() else _pre_tokens(w) for w in words] if self.ends is not None else [0] * len(words))
+        parts, counts, order = [self.ids], [], []
+        for sure in (True, False):
+            batch = np.flatnonzero((known > 0) == sure)
+            for i in range(0, len(batch), 4096):
+                own = batch[i : i + 4096]
+                text = [words[n] for n in own.tolist()]
+                ids, each = self._sure(text, known[own]) if sure else self._any(text)
                 parts.append(ids)
-        starts = np.empty(len(words), np.int64)
-        starts[order] = len(self.ids) + np.cumsum(counts[order]) - counts[order]
+                counts.append(each)
+                order.append(own)
+        count, place = np.concatenate(counts), np.concatenate(order)
+        fresh = np.empty((2, len(words)), np.int64)
+        fresh[0, place] = count
+        fresh[1, place] = len(self.ids) + np.cumsum(count) - count
         self.ids = np.concatenate(parts)
-        self.starts, self.counts = np.concatenate((self.starts, starts)), np.concatenate((self.counts, counts))
+        self.counts, self.starts = np.concatenate((self.counts, fresh[0])), np.concatenate((self.starts, fresh[1]))
         self.table.new = []
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
