@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from .decontamination import op3_decontamination
 from .exact_dedup import op5_exact_dedup
 from .minhash_dedup import op4_minhash_dedup
 from .packing import op1_best_fit_packing
+from .secret_scan import op6_secret_scan
 from .sharding import op9_sharding
 from .token_output import op2_token_output
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_output": op2_token_output,
+    "op3_decontamination": op3_decontamination,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_secret_scan": op6_secret_scan,
     "op9_sharding": op9_sharding,
 }
 
