@@ -6,6 +6,7 @@ from .decontamination import op3_decontamination
 from .exact_dedup import op5_exact_dedup
 from .minhash_dedup import op4_minhash_dedup
 from .packing import op1_best_fit_packing
+from .quality import op8_quality_classifier
 from .secret_scan import op6_secret_scan
 from .sharding import op9_sharding
 from .token_output import op2_token_output
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_secret_scan": op6_secret_scan,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_sharding": op9_sharding,
 }
 
