@@ -1,11 +1,70 @@
-"""The corpus pipeline: stages over the documents table."""
+"""The corpus pipeline: five stages over the documents table.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; run()
+writes every stage's result as Parquet to the shared folder and reads it again for the next, so a
+lost executor costs no more than the stage at hand.  All but the last return the columns of docs.
+
+Nulls: a null text counts as empty.  Rows without a doc_id pass the stages that drop by id, but
+for exact copies, of which one row stays.  Empty tables and further columns pass through.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from entitylink.llm.common import checkpoint_dir, read
+from entitylink.llm.decontamination import drop_contaminated
+from entitylink.llm.exact_dedup import drop_copies
+from entitylink.llm.minhash_dedup import drop_near_copies
+from entitylink.llm.packing import pack_documents
+from entitylink.llm.quality import keep_good
+
+SEQUENCE = 2048
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of equal texts stays, the one with the largest doc_id."""
+    return drop_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
+    return drop_near_copies(docs, width=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of SEQUENCE tokens."""
+    return pack_documents(docs, capacity=SEQUENCE)
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("exact_dedup", exact),
+    ("minhash_near_dedup", near),
+    ("benchmark_decontamination", decontaminate),
+    ("best_fit_packing", pack),
+]
+#: The classifier and the packing plan are not SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (name, stage) in enumerate(STAGES):
+        out = f"{folder}/{number}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
     return docs
