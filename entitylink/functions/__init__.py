@@ -1 +1 @@
-"""See the package README."""
+"""Column functions: text cleaning, tracks, normalised keys and stems."""
