@@ -116,4 +116,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return find_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("n_hits")

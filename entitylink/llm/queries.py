@@ -7,12 +7,15 @@ from .exact_dedup import op5_exact_dedup
 from .language_id import op10_language_id
 from .lm_scoring import op7_lm_scoring
 from .minhash_dedup import op4_minhash_dedup
+from .oracles import ORACLES
 from .packing import op1_best_fit_packing
 from .quality import op8_quality_classifier
 from .secret_scan import op6_secret_scan
 from .sharding import op9_sharding
 from .token_output import op2_token_output
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_output": op2_token_output,
@@ -25,14 +28,3 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
 }
-
-ORACLES: dict[str, str] = {}
-
-ORACLES["op5_exact_dedup"] = """
-WITH d AS (
-  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents
-)
-SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = max(doc_id) OVER w AS kept, sha256(body) AS text_sha256
-FROM d WINDOW w AS (PARTITION BY body)
-"""

@@ -17,11 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import block, blocks_of, materialize, number_within, read
+from .common import materialize, number_within, read
 
 # Fixed values of the published algorithm: the generator's multiplier (increment 1).
 MULTIPLIER = 2862933555777941757
 LIMB = 16
+#: Blocks that the rows of a shard are dealt to before they are numbered.
+BLOCKS = 1024
 
 
 def stable_key(value: Column) -> Column:
@@ -74,7 +76,6 @@ def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
 
     The text is read once; what is numbered are rows of a few numbers.
     """
-    spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     hashed = stable_key(F.col(key))
     slim = materialize(
@@ -84,7 +85,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
             F.crc32(body.cast("binary")).alias("text_crc32"),
             jump_hash(hashed, shards).alias("shard"),
             jump_hash(hashed, shards + 1).alias("grown_shard"),
-        ).withColumn("_block", block([key, "text_crc32", "size"], blocks_of(spark)))
+        ).withColumn("_block", F.conv(F.substring(F.md5(F.concat_ws("/", F.col(key).cast("string"), F.col("text_crc32").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % BLOCKS)
     )
     done = number_within(slim, ["shard"], "_block", [F.col(key), F.col("text_crc32"), F.col("size")], "slot")
     return done.select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
