@@ -80,6 +80,27 @@ def count_grams(rows: DataFrame, word_bits: int, pair_bits: int) -> DataFrame:
     return counted.groupBy("entry").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
+CHUNK = 1 << 14
+
+
+def tables(counted: DataFrame, size: int) -> np.ndarray:
+    """Background and target counts by entry.  The entries of a chunk, CHUNK at most, are laid out
+    by executors; the driver gets a row of bytes a chunk."""
+
+    def lay(key: tuple, part: pa.Table) -> pa.Table:
+        out = np.zeros((2, CHUNK))
+        at = part.column("entry").to_numpy() % CHUNK
+        out[0, at], out[1, at] = part.column("background").to_numpy(), part.column("target").to_numpy()
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([out.tobytes()], pa.binary())})
+
+    rows = counted.withColumn("chunk", F.floor(F.col("entry") / CHUNK).cast("int")).groupBy("chunk").applyInArrow(lay, "chunk int, counts binary")
+    out = np.zeros((2, -(-size // CHUNK) * CHUNK))
+    for row in rows.toLocalIterator():
+        low = row["chunk"] * CHUNK
+        out[:, low : low + CHUNK] = np.frombuffer(row["counts"]).reshape(2, CHUNK)
+    return out[:, :size]
+
+
 def own_counts(entry: np.ndarray, of: np.ndarray) -> np.ndarray:
     """For each token, how often its entry stands in its own document."""
     _, back, n = np.unique(of * (1 << 32) + entry, return_inverse=True, return_counts=True)
@@ -110,9 +131,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, word_bits: int = WORD_BI
     spark = docs.sparkSession
     ship(spark)
     rows = _marked(docs, materialize(target_ids(labels)))
-    found = count_grams(rows, word_bits, pair_bits).toPandas()  # a row an entry at most
-    counts = np.zeros((2, (1 << word_bits) + (1 << pair_bits)))
-    counts[:, found.entry] = found.background, found.target
+    counts = tables(count_grams(rows, word_bits, pair_bits), (1 << word_bits) + (1 << pair_bits))
     shared = spark.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
