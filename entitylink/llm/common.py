@@ -53,9 +53,16 @@ def _ship(app_id: str) -> None:
     spark.sparkContext.addPyFile(os.fspath(out))
 
 
+#: Bytes of an Arrow batch, which an executor holds on both sides of each Python worker.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once, for the operators that run Python there."""
+    """Send this package to the executors once, for the operators that run Python there, and keep
+    batches small: texts may be long, so a number of rows does not bound a batch."""
     _ship(spark.sparkContext.applicationId)
+    spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -7,6 +7,8 @@ table that is bounded by a number of words and kept by a worker between tasks.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import json
 import os
 from collections.abc import Iterable, Iterator
@@ -15,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Words that a worker's table may hold when a new chunk of texts starts.
-TABLE_WORDS = 800_000
+TABLE_WORDS = 450_000
 #: Bytes of text that are encoded at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def default_tokenizer() -> str:
@@ -156,15 +158,24 @@ def with_end(ids: np.ndarray, each: np.ndarray, end_id: int) -> tuple[np.ndarray
 
 
 def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Slices of the batches with about `most` bytes of text, and their texts (a binary column)."""
+    """Slices of the batches with about `most` bytes of text, and their texts (a binary column).
+
+    Workers are kept between tasks; what a task has freed goes back to the system at its end."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = _sizes(batch.column(text))
-        cut = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+        cut = np.flatnonzero(np.diff(np.cumsum(_sizes(batch.column(text))) // most)) + 1
         for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
             part = batch.slice(a, b - a)
             yield part, part.column(text).to_pylist()
+    batch = part = None
+    release()
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _sizes(column: pa.Array) -> np.ndarray:
