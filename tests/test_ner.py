@@ -1,3 +1,5 @@
+import importlib.util
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,9 +58,12 @@ def test_switches(spark):
     assert names(only, "extracted_drugs") == [["other"]]
     no_primary = extract_drug_entities(spark, df, "label", "d", use_primary=False, fallback_model=model_of(answers))
     assert names(no_primary, "d") == [["rituximab"]]
-    for options in ({"use_primary": False, "use_fallback": False}, {"primary_model": model_of({}), "input_col": "none"}, {}):
+    for options in ({"use_primary": False, "use_fallback": False}, {"input_col": "none"}):
         with pytest.raises(ValueError):
             extract_drug_entities(spark, df, **({"input_col": "label"} | options))
+    if importlib.util.find_spec("transformers") is None:
+        with pytest.raises(ImportError):
+            extract_drug_entities(spark, df, "label")
 
 
 def test_failures_give_no_names(spark):
@@ -76,8 +81,6 @@ def test_diseases(spark, tmp_path):
     assert set(open(log).read().split("\n")) == {"asthma and flu", "fail", ""}
     with pytest.raises(ValueError):
         extract_disease_entities(spark, df, "none", model=model_of({}))
-    with pytest.raises(ValueError):
-        extract_disease_entities(spark, df, "label")
 
 
 def test_pipeline_factory_is_lazy():
