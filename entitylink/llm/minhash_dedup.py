@@ -32,13 +32,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import bounded, checkpoint_dir, materialize, read, ship, without
+from .common import bounded, checkpoint_dir, materialize, parts_for, read, ship, without
 from .components import components, merge_labels
 from .tokens import chunks
 
 #: (bands, minhashes in a band) of the two collections.
 COLLECTIONS = ((10, 2), (15, 3))
-SIGNED = "doc_id long, rep long, n_shingles long, set_digest binary, u array<long>, v array<long>"
+SIGNED = "doc_id long, rep long, n_shingles long, set_digest binary, u array<long>, v array<long>, sketch array<long>"
+#: Bits of a set's sketch; each shingle turns one of them over.
+SKETCH = 512
 
 
 def band_values(flat: np.ndarray, each: np.ndarray, collections=COLLECTIONS) -> list[np.ndarray]:
@@ -55,6 +57,24 @@ def band_values(flat: np.ndarray, each: np.ndarray, collections=COLLECTIONS) ->
     return out
 
 
+def sketches(flat: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """SKETCH bits, as longs, for each set that isn't empty.  Shingles that only one of two sets has
+    account for every bit in which their sketches differ, so there are as many of them at least."""
+    full = each[each > 0]
+    of = np.repeat(np.arange(len(full)), full)
+    odd = np.bincount(of * SKETCH + (flat >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH * len(full)) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, SKETCH), axis=1).view(np.int64)
+
+
+def may_link(percent: int, x: str, y: str) -> str:
+    """False for sets (n, sketch) that sizes and sketches show to be too different; exact."""
+    apart = " + ".join(f"bit_count({x}.sketch[{k}] ^ {y}.sketch[{k}])" for k in range(SKETCH // 64))
+    return (
+        f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
+        f" and {100 + percent} * ({x}.n + {y}.n - ({apart})) >= {2 * percent} * ({x}.n + {y}.n)"
+    )
+
+
 def sign(docs: DataFrame, width: int, collections) -> DataFrame:
     """SIGNED for each row with a doc_id; only the first row with a set in a task has u and v."""
 
@@ -63,19 +83,20 @@ def sign(docs: DataFrame, width: int, collections) -> DataFrame:
         for batch, texts in chunks(batches, most=1 << 20):
             flat, each = shingles.shingle_sets(texts, width)
             u, v = (iter(x) for x in band_values(flat, each, collections))
+            drawn = iter(sketches(flat, each))
             ids = batch.column("doc_id").to_pylist()
             rows, end = [], 0
             for doc_id, n in zip(ids, each.tolist(), strict=True):
                 end += n
                 if not n:
-                    rows.append((doc_id, doc_id, 0, None, None, None))
+                    rows.append((doc_id, doc_id, 0, None, None, None, None))
                     continue
                 digest = hashlib.blake2b(flat[end - n : end].tobytes(), digest_size=16).digest()
-                rep, own = first.setdefault(digest, doc_id), (next(u), next(v))
+                rep, own = first.setdefault(digest, doc_id), (next(u), next(v), next(drawn))
                 new = rep == doc_id
-                rows.append((doc_id, rep, n, digest, *(own if new else (None, None))))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "rep", "n_shingles", "set_digest", "u", "v"])
+                rows.append((doc_id, rep, n, digest, *(own if new else (None, None, None))))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "rep", "n_shingles", "set_digest", "u", "v", "sketch"])
 
     ship(docs.sparkSession)
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SIGNED)
@@ -90,8 +111,15 @@ def table_rows(nodes: DataFrame) -> DataFrame:
     )
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
+#: Pairs of texts that a task compares at least.
+TASK_PAIRS = 1_000
+
+
+def confirmed(pairs: DataFrame, most: int, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b), `most` of them, with 100 * intersection >= percent * union of
+    their full sets.
+
+    Sizes and sketches, a few bytes a node, rule out most others before texts are brought together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, right = None, frozenset()
@@ -109,18 +137,22 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
     left = texts.select(F.col("node").alias("a"), F.col("body").alias("_ta"))
     right = texts.select(F.col("node").alias("b"), F.col("body").alias("_tb"))
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", "_ta", "_tb").mapInArrow(run, "a long, b long")
-    return materialize(found.distinct())
+    x, y = nodes.withColumnRenamed("node", "a").alias("x"), nodes.withColumnRenamed("node", "b").alias("y")
+    few, more = parts_for(pairs, most), parts_for(pairs, most, TASK_PAIRS)
+    pairs = pairs.join(x, "a").coalesce(few).join(y, "b").filter(may_link(percent, "x", "y")).select("a", "b").coalesce(few)
+    met = pairs.join(left, "a").coalesce(more).join(right, "b").select("a", "b", "_ta", "_tb")
+    return materialize(met.mapInArrow(run, "a long, b long").coalesce(more).distinct().coalesce(few))
 
 
-def between(buckets: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def between(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) in different components among the nodes of buckets that hold several.
 
     Not all pairs of a bucket: two sets that are similar enough share one of their first
     shingles in a common order, rare ones first (Xiao et al., 2008).  Each set's prefix is as long
     as its size demands, and a meeting counts only if what is left behind it on both sides can
-    still reach the overlap that the two sizes demand.  So a node whose own text is too different
-    from all others meets nobody, however large its bucket is.
+    still reach the overlap that the two sizes demand, and if sketches allow it.  So a node whose
+    own text is too different from all others meets nobody, however large its bucket is, and texts
+    just below the threshold hardly meet.
     """
     key = Window.partitionBy("key")
     mixed = (
@@ -133,14 +165,16 @@ def between(buckets: DataFrame, labels: DataFrame, texts: DataFrame, width: int,
         .distinct()
     )
 
+    passed = ["node", "component"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bodies in chunks(batches, "body", 1 << 20):
             flat, each = shingles.shingle_sets(bodies, width)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(each))).astype(np.int32)), pa.array(flat.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("component"), pa.array(each), lists], names=["node", "component", "n", "_set"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), pa.array(each), lists], names=[*passed, "n", "_set"])
 
-    sets = texts.join(mixed, "node").select("node", "component", "body").mapInArrow(run, "node long, component long, n long, _set array<long>")
-    rows = sets.select("node", "component", "n", F.explode("_set").alias("shingle"))
+    sets = texts.join(mixed, "node").select(*passed, "body").mapInArrow(run, "node long, component long, n long, _set array<long>")
+    rows = sets.select(*passed, "n", F.explode("_set").alias("shingle"))
     shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     own = Window.partitionBy("node", "n")
     placed = (
@@ -148,13 +182,13 @@ def between(buckets: DataFrame, labels: DataFrame, texts: DataFrame, width: int,
         .withColumn("_alone", F.col("n") - F.count(F.lit(1)).over(own))  # its shingles that no other node has come first
         .withColumn("at", F.col("_alone") + F.row_number().over(own.orderBy("df", "shingle")))
         .filter(f"at <= n - ceil(n * {percent} / 100.0) + 1")
-        .select("shingle", "node", "component", "n", "at")
+        .join(nodes, ["node", "n"])  # rows are where the window had them
+        .select("shingle", *passed, "n", "at", "sketch")
     )
-    placed = materialize(placed)
     one, two = placed.alias("x"), placed.alias("y")
     met = one.join(two, "shingle").filter(
         "x.node > y.node and x.component <> y.component"
-        f" and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+        f" and {may_link(percent, 'x', 'y')}"
         f" and {100 + percent} * (1 + least(x.n - x.at, y.n - y.at)) >= {percent} * (x.n + y.n)"
     )
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
@@ -172,35 +206,42 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, collections=
     spark = docs.sparkSession
     signed = materialize(sign(docs, width, collections))
     reps = signed.filter("u is not null").withColumn("node", F.min("rep").over(Window.partitionBy("set_digest")))
+    first = reps.filter("rep = node")
+    nodes = materialize(first.select("node", F.col("n_shingles").alias("n"), "sketch"))
     key = Window.partitionBy("key")
     buckets = materialize(
-        table_rows(reps.filter("rep = node"))
+        table_rows(first)
         .withColumn("low", F.min("node").over(key))
         .withColumn("_high", F.max("node").over(key))
         .filter("low < _high")
         .drop("_high")
     )
+    rows = buckets.count()
+    buckets = buckets.coalesce(parts_for(buckets, rows))
     labels = materialize(buckets.select("node").distinct().withColumn("component", F.col("node")))
-    folder = None
-    if labels.take(1):
+    folder, count = None, labels.count()
+    labels = labels.coalesce(parts_for(labels, count))
+    if count:
         folder = f"{checkpoint_dir(spark)}/near-{uuid.uuid4().hex}"
         wanted = bounded(labels.select(F.col("node").alias("_node")))
-        docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("body")).join(wanted, F.col("node") == F.col("_node")).drop("_node").distinct().write.parquet(folder)
+        docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("body")).join(wanted, F.col("node") == F.col("_node")).drop("_node").distinct().coalesce(parts_for(labels, count, TASK_PAIRS)).write.parquet(folder)
         texts = spark.read.parquet(folder)
         stars = buckets.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-        nearest = confirmed(stars.groupBy("a").agg(F.min("b").alias("b")), texts, width, percent)
+        nearest = confirmed(stars.groupBy("a").agg(F.min("b").alias("b")), count, nodes, texts, width, percent)
         labels = merge_labels(labels, nearest)
-        for pairs in (lambda: stars.distinct(), lambda: between(buckets, labels, texts, width, percent)):
+        for pairs in (lambda: stars.distinct(), lambda: between(buckets, labels, nodes, texts, width, percent)):
             left = materialize(apart(pairs(), labels))
-            links = confirmed(left.select("a", "b"), texts, width, percent)
+            links = confirmed(left.select("a", "b"), left.count(), nodes, texts, width, percent)
             joined = links.join(left, ["a", "b"]).select(F.col("_ca").alias("a"), F.col("_cb").alias("b"))
             labels = merge_labels(labels, joined)
     # back to all documents: set -> node -> component -> its smallest doc_id
     of_rep = reps.select("rep", "node").distinct()
     low = signed.groupBy("rep").agg(F.min("doc_id").alias("_low"))
-    of_rep = of_rep.join(low, "rep").join(labels, "node", "left").select("rep", "_low", F.coalesce("component", "node").alias("component"))
+    of_rep = materialize(of_rep.join(low, "rep").join(labels, "node", "left").select("rep", "_low", F.coalesce("component", "node").alias("component")))
     least = of_rep.groupBy("component").agg(F.min("_low").alias("component_id"))
-    of_rep = materialize(of_rep.join(least, "component").groupBy("rep").agg(F.min("component_id").alias("component_id")))
+    # a large component's rows can be split in this join, as nothing above it needs them together
+    of_rep = materialize(of_rep.join(least, "component").select("rep", "component_id"))
+    of_rep = of_rep.groupBy("rep").agg(F.min("component_id").alias("component_id"))
     if folder:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,7 +8,7 @@ import pytest
 from entitylink.llm import shingles
 from entitylink.llm.components import components
 from entitylink.llm.exact_dedup import drop_copies, exact_groups
-from entitylink.llm.minhash_dedup import between, drop_near_copies, near_groups
+from entitylink.llm.minhash_dedup import between, drop_near_copies, near_groups, sketches
 
 from .helpers import documents, odd_rows
 
@@ -108,7 +108,9 @@ def test_prefix_join_finds_all_pairs(spark):
     buckets = spark.createDataFrame([(1, i) for i in sets], "key long, node long")
     labels = spark.createDataFrame([(i, i) for i in sets], "node long, component long")
     texts = spark.createDataFrame([(i, bytearray(t.encode())) for i, t in rows], "node long, body binary")
-    found = {(r.a, r.b) for r in between(buckets, labels, texts, 2, 80).collect()}
+    flat, each = shingles.shingle_sets([t.encode() for _, t in rows], 2)
+    nodes = spark.createDataFrame([(i, n, s) for (i, _), n, s in zip(rows, each.tolist(), sketches(flat, each).tolist(), strict=True)], "node long, n long, sketch array<long>")
+    found = {(r.a, r.b) for r in between(buckets, labels, nodes, texts, 2, 80).collect()}
     assert links <= found and len(found) < len(sets) * (len(sets) - 1) / 4
 
 
