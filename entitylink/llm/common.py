@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import tempfile
 import zipfile
@@ -42,11 +41,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-@functools.cache
-def _ship(app_id: str) -> None:
-    spark = SparkSession.getActiveSession()
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
     package = Path(__file__).resolve().parent.parent
-    out = Path(tempfile.mkdtemp(prefix="ship-")) / f"{package.name}.zip"
+    out = Path(tempfile.mkdtemp(prefix="ship-")) / f"{package.name}.zip"  # Spark serves it from the driver
     with zipfile.ZipFile(out, "w") as z:
         for p in sorted(package.rglob("*.py")):
             z.write(p, p.relative_to(package.parent))
@@ -61,7 +61,10 @@ BATCH_BYTES = 4 << 20
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once, for the operators that run Python there, and keep
     batches small: texts may be long, so a number of rows does not bound a batch."""
-    _ship(spark.sparkContext.applicationId)
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _ship(spark)
+        _shipped.add(app)
     spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
@@ -71,6 +74,15 @@ def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+#: Rows of a few numbers that a task of a small job gets at least.
+TASK_ROWS = 20_000
+
+
+def parts_for(df: DataFrame, rows: int, task_rows: int = TASK_ROWS) -> int:
+    """Tasks for a job over `rows` rows: no more than there are partitions, one at least."""
+    return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // task_rows))
+
+
 def blocks_of(spark: SparkSession, least: int = 256) -> int:
     """Number of blocks that a group is dealt to before its rows are numbered."""
     return max(least, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))

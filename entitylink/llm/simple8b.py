@@ -69,20 +69,21 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     walked = np.stack(steps, axis=1)
     row, step = np.nonzero(walked >= 0)
     pos = walked[row, step]
-    sel = best[row, pos]
+    sel = flat[row * bits.shape[1] + pos]
     slots = 1 + (sel == ESCAPE)
     place = np.cumsum(slots) - slots
     words = np.zeros(int(slots.sum()), np.uint64)
+    ids_of, cell = padded.reshape(-1), row * padded.shape[1] + pos
     for s, (n, width) in enumerate(SELECTORS):
         own = np.flatnonzero(sel == s)
         if not len(own):
             continue
         if s == ESCAPE:
-            words[place[own] + 1] = padded[row[own], pos[own]]
+            words[place[own] + 1] = ids_of[cell[own]]
             continue
-        word = np.full(len(own), s << 60, np.uint64)
+        word, at = np.full(len(own), s << 60, np.uint64), cell[own]
         for j in range(n if width else 0):
-            word |= padded[row[own], pos[own] + j] << np.uint64(width * j)
+            word |= ids_of[at + j] << np.uint64(width * j)
         words[place[own]] = word
     starts = place[np.searchsorted(row, np.arange(frames))]
     return words, starts
@@ -102,14 +103,15 @@ def decode(words: np.ndarray, starts: np.ndarray, total: int) -> np.ndarray:
     first = before[np.searchsorted(at, starts)] if len(starts) else before
     pos = before - first[frame]
     out = np.zeros((len(starts), FRAME + int(COUNTS.max())), np.uint64)
+    flat = out.reshape(-1)
     for s, (n, width) in enumerate(SELECTORS):
         own = np.flatnonzero(sel == s)
         if not len(own):
             continue
         if s == ESCAPE:
-            out[frame[own], pos[own]] = words[at[own] + 1]
+            flat[frame[own] * out.shape[1] + pos[own]] = words[at[own] + 1]
             continue
-        mask = np.uint64((1 << width) - 1)
+        mask, own_words, cell = np.uint64((1 << width) - 1), words[at[own]], frame[own] * out.shape[1] + pos[own]
         for j in range(n if width else 0):
-            out[frame[own], pos[own] + j] = (words[at[own]] >> np.uint64(width * j)) & mask
+            flat[cell + j] = (own_words >> np.uint64(width * j)) & mask
     return out[:, :FRAME].reshape(-1)[:total]

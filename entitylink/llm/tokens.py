@@ -96,9 +96,12 @@ class WordEncoder:
         """Encode the words that are new."""
         words = self.table.new
         known = np.array([1 if w.isalpha() else _pre_tokens(w) for w in words] if self.ends is not None else [0] * len(words))
+        # letters and then stops or commas have the ids of both, if the letters are in the table
+        built = [(n, core, words[n]) for n in np.flatnonzero(known == 2).tolist() if (core := self.table.get(words[n].rstrip(b",."))) is not None]
+        known[[n for n, _, _ in built]] = -1
         parts, counts, order = [self.ids], [], []
         for sure in (True, False):
-            batch = np.flatnonzero((known > 0) == sure)
+            batch = np.flatnonzero(known > 0 if sure else known == 0)
             for i in range(0, len(batch), 4096):
                 own = batch[i : i + 4096]
                 text = [words[n] for n in own.tolist()]
@@ -106,14 +109,30 @@ class WordEncoder:
                 parts.append(ids)
                 counts.append(each)
                 order.append(own)
-        count, place = np.concatenate(counts), np.concatenate(order)
-        fresh = np.empty((2, len(words)), np.int64)
+        count, place = np.concatenate([np.empty(0, np.int64), *counts]), np.concatenate([np.empty(0, np.int64), *order])
+        fresh = np.zeros((2, len(words)), np.int64)
         fresh[0, place] = count
         fresh[1, place] = len(self.ids) + np.cumsum(count) - count
         self.ids = np.concatenate(parts)
         self.counts, self.starts = np.concatenate((self.counts, fresh[0])), np.concatenate((self.starts, fresh[1]))
+        if built:
+            self._build(len(self.counts) - len(words), built)
         self.table.new = []
 
+    def _build(self, old: int, built: list[tuple[int, int, bytes]]) -> None:
+        """Words made of a word of the table and a tail: (number among the new, word, bytes)."""
+        at, core = np.array([b[0] for b in built]) + old, np.array([b[1] for b in built])
+        tails = [w[len(w.rstrip(b",.")) :] for _, _, w in built]
+        ids_of = {t: self._whole(t) for t in set(tails)}
+        own, more = self.counts[core], np.array([len(ids_of[t]) for t in tails])
+        ends = np.cumsum(own + more)
+        out = np.empty(ends[-1], np.uint32)
+        body = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        out[np.repeat(ends - own - more, own) + body] = self.ids[np.repeat(self.starts[core], own) + body]
+        out[np.repeat(ends - more, more) + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)] = np.concatenate([ids_of[t] for t in tails])
+        self.counts[at], self.starts[at] = own + more, len(self.ids) + ends - own - more
+        self.ids = np.concatenate((self.ids, out))
+
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each text has."""
         if len(self.table) > self.table_words:
