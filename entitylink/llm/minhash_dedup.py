@@ -116,8 +116,8 @@ TASK_PAIRS = 1_000
 
 
 def confirmed(pairs: DataFrame, most: int, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b), `most` of them, with 100 * intersection >= percent * union of
-    their full sets.
+    """Those of the pairs (a, b) with 100 * intersection >= percent * union of their full sets.
+    most: the number of pairs or of texts, whichever is larger.
 
     Sizes and sketches, a few bytes a node, rule out most others before texts are brought together."""
 
@@ -138,7 +138,7 @@ def confirmed(pairs: DataFrame, most: int, nodes: DataFrame, texts: DataFrame, w
     left = texts.select(F.col("node").alias("a"), F.col("body").alias("_ta"))
     right = texts.select(F.col("node").alias("b"), F.col("body").alias("_tb"))
     x, y = nodes.withColumnRenamed("node", "a").alias("x"), nodes.withColumnRenamed("node", "b").alias("y")
-    few, more = parts_for(pairs, most), parts_for(pairs, most, TASK_PAIRS)
+    few, more = parts_for(pairs, max(most, nodes.count())), parts_for(pairs, most, TASK_PAIRS)
     pairs = pairs.join(x, "a").coalesce(few).join(y, "b").filter(may_link(percent, "x", "y")).select("a", "b").coalesce(few)
     met = pairs.join(left, "a").coalesce(more).join(right, "b").select("a", "b", "_ta", "_tb")
     return materialize(met.mapInArrow(run, "a long, b long").coalesce(more).distinct().coalesce(few))
@@ -231,15 +231,15 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, collections=
         labels = merge_labels(labels, nearest)
         for pairs in (lambda: stars.distinct(), lambda: between(buckets, labels, nodes, texts, width, percent)):
             left = materialize(apart(pairs(), labels))
-            links = confirmed(left.select("a", "b"), left.count(), nodes, texts, width, percent)
+            links = confirmed(left.select("a", "b"), max(count, left.count()), nodes, texts, width, percent)
             joined = links.join(left, ["a", "b"]).select(F.col("_ca").alias("a"), F.col("_cb").alias("b"))
             labels = merge_labels(labels, joined)
     # back to all documents: set -> node -> component -> its smallest doc_id
     of_rep = reps.select("rep", "node").distinct()
     low = signed.groupBy("rep").agg(F.min("doc_id").alias("_low"))
     of_rep = materialize(of_rep.join(low, "rep").join(labels, "node", "left").select("rep", "_low", F.coalesce("component", "node").alias("component")))
-    least = of_rep.groupBy("component").agg(F.min("_low").alias("component_id"))
-    # a large component's rows can be split in this join, as nothing above it needs them together
+    least = materialize(of_rep.groupBy("component").agg(F.min("_low").alias("component_id")))
+    # a large component's rows can be split in this join, as nothing beside it needs them together
     of_rep = materialize(of_rep.join(least, "component").select("rep", "component_id"))
     of_rep = of_rep.groupBy("rep").agg(F.min("component_id").alias("component_id"))
     if folder:
