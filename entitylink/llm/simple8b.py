@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-FRAME = 1024
+FRAME = 512
 #: (ids in a word, bits of an id) by selector.
 SELECTORS = [(1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 COUNTS = np.array([n for n, _ in SELECTORS])

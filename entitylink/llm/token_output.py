@@ -7,7 +7,7 @@ files are never seen), one row for each block of whole documents:
     start_in_part        ids in the part before the block
     n_ids                ids of the block
     doc_ids, doc_counts  its documents in order, and their numbers of ids
-    offsets              for each frame of 1024 ids, the word at which it starts
+    offsets              for each frame of 512 ids, the word at which it starts
     words                Simple-8b words, little-endian
 
 Parts are ranges of doc_id in ascending order.  Ids before a document: those of earlier parts (a
@@ -35,7 +35,9 @@ from .tokens import WordEncoder, chunks, default_tokenizer, with_end
 
 BLOCKS = "part int, block int, start_in_part long, n_ids long, doc_ids array<long>, doc_counts array<long>, offsets array<long>, words binary"
 #: Ids at which a block is closed.
-BLOCK_IDS = 1 << 17
+BLOCK_IDS = 1 << 16
+#: Words that a worker keeps: nothing else of size stands beside them here.
+TABLE_WORDS = 800_000
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1) -> None:
@@ -43,7 +45,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     name = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, block, before = WordEncoder.of(name), TaskContext.get().partitionId(), 0, 0
+        encoder, part, block, before = WordEncoder.of(name, TABLE_WORDS), TaskContext.get().partitionId(), 0, 0
         for batch, texts in chunks(batches):
             ids, each = with_end(*encoder.encode(texts), end_id)
             doc_ids = batch.column("doc_id")

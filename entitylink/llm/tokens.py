@@ -63,10 +63,11 @@ class WordEncoder:
         self._reset()
 
     @classmethod
-    def of(cls, path: str) -> WordEncoder:
+    def of(cls, path: str, table_words: int = TABLE_WORDS) -> WordEncoder:
         """The worker's encoder for a vocabulary."""
         if path not in cls._kept:
             cls._kept[path] = cls(path)
+        cls._kept[path].table_words = table_words
         return cls._kept[path]
 
     def _reset(self) -> None:
