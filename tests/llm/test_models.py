@@ -150,3 +150,32 @@ def test_lm_like_brute_force(spark):
         assert close, (r, want[r.doc_id])
         assert (r.loss_difference is None) == (r.n_tokens == 0)
     assert len(got) == len(rows)
+
+
+def test_lm_counts_every_word_and_pair_apart(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.2)) % 40_000}" for _ in range(300))) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    counts, pair_counts, sizes = [Counter(), Counter()], [Counter(), Counter()], [0, 0]
+    for i, text in rows:
+        own = text.split()
+        for k in range(2 if i % 3 else 1):
+            counts[k].update(own)
+            pair_counts[k].update(itertools.pairwise(own))
+            sizes[k] += len(own)
+    entries = len(counts[0])
+    assert entries > 10_000
+    got = lm_scoring.score_documents(documents(spark, rows), labels, least_entries=1, chunk_bytes=50_000, bucket_bytes=90_000).collect()
+    assert sorted(r.doc_id for r in got) == [i for i, _ in rows]
+    for r in got:
+        own = rows[r.doc_id][1].split()
+        mine, my_pairs, means = Counter(own), Counter(itertools.pairwise(own)), []
+        for k in (1, 0):
+            out, total = k == 0 or r.doc_id % 3 > 0, 0.0
+            for n, w in enumerate(own):
+                alone = (counts[k][w] - out * mine[w] + 1) / (sizes[k] - out * len(own) + entries)
+                v = own[n - 1] if n else None
+                seen = counts[k][v] - out * mine[v] if n else 0
+                total -= math.log(0.7 * (pair_counts[k][v, w] - out * my_pairs[v, w]) / seen + 0.3 * alone if seen > 0 else alone)
+            means.append(total / len(own))
+        assert (r.target_loss, r.background_loss) == pytest.approx(means)
