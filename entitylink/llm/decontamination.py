@@ -4,9 +4,9 @@ Words are runs of letters and digits, lower-cased.  A seed is the hash of the wo
 mask keeps in a window, so a word changed at an ignored position does not hide the window.  The
 seeds of the benchmark meet those of every window of every document; around a hit, the words of
 document and item are laid side by side on the hit's diagonal, and the hit counts if some stretch
-of `window` words that holds the start of the seed (the whole item, if it is shorter) agrees in
-`percent` of its places.  Items shorter than the masks are sought by all of their words; items of
-fewer than `least` words are not sought.
+of `window` words that holds the seed (the whole item, if it is shorter) agrees in `percent` of its
+places.  The masks for a length of stretch leave a seed whole wherever the words that may differ
+stand, if it has fewer than 11 words.  Items of fewer than `least` words are not sought.
 
 The benchmark is the stated query set: its seeds are broadcast in blocks of a checked number of
 rows, and every block is joined with all windows.  Documents are read once for each block and not
@@ -26,9 +26,27 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, bounded, materialize, read, without
 
-#: Kept (1) and ignored (0) words.  In the first, a changed word leaves every second window whole.
-MASKS = ("10101010101", "11010010111")
-SPAN = max(map(len, MASKS))
+#: Kept (1) and ignored (0) words, by how long a stretch is and how many of its words may differ:
+#: wherever those stand, some mask fits into the stretch at some place and ignores them all, but
+#: for stretches of 11 words and more, some of which are missed.
+MASKS = {
+    (5, 1): ("111", "1101"),
+    (6, 1): ("1111", "11011"),
+    (7, 1): ("11111", "110111", "111101"),
+    (8, 1): ("111011", "110111"),
+    (9, 1): ("111011",),
+    (10, 2): ("111011", "11010011", "11111"),
+    (11, 2): ("10101010101", "11010010111"),
+    (12, 2): ("10101010101", "11010010111"),
+    (13, 2): ("10101010101", "11010010111"),
+}
+
+
+def masks_for(n: int, percent: int) -> tuple[str, ...]:
+    """Masks that find every stretch of n words that agrees in `percent` of its places."""
+    differ = n - -(-n * percent // 100)
+    # of differ + 1 parts side by side, one is whole
+    return MASKS.get((n, differ), ("1" * max(1, n // (differ + 1)),))
 
 
 def word_hashes(text: Column) -> Column:
@@ -45,45 +63,47 @@ def seeds(words: Column, masks: tuple[str, ...]) -> Column:
         kept = [k for k, c in enumerate(mask) if c == "1"]
         return lambda h: F.transform(h, lambda _, i: F.xxhash64(F.lit(mask), *(F.get(h, i + k) for k in kept)))
 
-    return F.flatten(F.transform(F.array(words), lambda h: F.concat(*(of(m)(h) for m in masks))))
+    return F.flatten(F.transform(F.array(words), lambda h: F.concat(F.array().cast("array<bigint>"), *(of(m)(h) for m in masks))))
 
 
-def short_masks(items: DataFrame, least: int) -> list[str]:
-    """A full mask for each length of items that are too short for MASKS."""
-    lengths = items.filter(f"size(_item) >= {least} and size(_item) < {SPAN}").select(F.size("_item").alias("n")).distinct()
-    return ["1" * r["n"] for r in lengths.orderBy("n").collect()]  # fewer than SPAN rows
+def chosen_masks(items: DataFrame, window: int, percent: int) -> dict[int, tuple[str, ...]]:
+    """The masks for items of at least `window` words, and for each length of shorter ones."""
+    lengths = items.select(F.least(F.lit(window), F.size("_item")).alias("n")).distinct()
+    return {r["n"]: masks_for(r["n"], percent) for r in lengths.orderBy("n").collect()}  # no more than window rows
 
 
-def item_seeds(items: DataFrame, masks: tuple[str, ...], short: list[str], least: int) -> DataFrame:
-    """seed, item_id, at (the word at which the window starts)."""
-    tables = []
-    for chosen, wanted in ((masks, f"size(_item) >= {SPAN}"), *(((m,), f"size(_item) = {len(m)}") for m in short)):
+def item_seeds(items: DataFrame, masks: dict[int, tuple[str, ...]], window: int) -> DataFrame:
+    """seed, _key, at (the word at which the window starts), span."""
+    tables = [items.selectExpr("0L as seed", "_key", "0 as at", "0 as span").limit(0)]
+    for length, chosen in masks.items():
         for mask in chosen:
-            rows = items.filter(wanted).select("_key", F.size("_item").alias("n"), F.posexplode(seeds(F.col("_item"), (mask,))).alias("at", "seed"))
-            tables.append(rows.filter(f"at + {len(mask)} <= n").select("seed", "_key", "at"))
+            rows = items.filter(F.least(F.lit(window), F.size("_item")) == length).select("_key", F.size("_item").alias("n"), F.posexplode(seeds(F.col("_item"), (mask,))).alias("at", "seed"))
+            tables.append(rows.filter(f"at + {len(mask)} <= n").select("seed", "_key", "at", F.lit(len(mask)).alias("span")))
     return reduce(DataFrame.unionByName, tables)
 
 
-def agreement(words: Column, item: Column, diagonal: Column, at: Column, window: int, percent: int) -> Column:
-    """The most words that agree in a stretch of `window` places around `at`, if that is enough."""
+def agreement(words: Column, item: Column, diagonal: Column, at: Column, span: Column, window: int, percent: int) -> Column:
+    """For the stretches of `window` places that hold the seed and agree in enough of them: the
+    most words that agree, and the first that does.  An array of one struct, or of none."""
     n = F.least(F.lit(window), F.size(item))
-    low = F.greatest(F.lit(0), at - F.lit(window - SPAN))
-    low = F.least(low, F.size(item) - n)
-    high = F.greatest(low, F.least(at, F.size(item) - n))
-    same = lambda i: (F.get(words, diagonal + i) == F.get(item, i)).cast("int")
-    sums = F.transform(
-        F.sequence(low, high),
-        lambda s: F.aggregate(F.sequence(s, s + n - 1), F.lit(0), lambda total, i: total + F.coalesce(same(i), F.lit(0))),
+    low, high = F.greatest(F.lit(0), at + span - n), F.least(at, F.size(item) - n)
+    same = lambda i: F.coalesce(F.get(words, diagonal + i) == F.get(item, i), F.lit(False))
+    total = lambda s: F.aggregate(F.sequence(s, s + n - 1), F.lit(0), lambda sums, i: sums + same(i).cast("int"))
+    sums = F.transform(F.sequence(low, high), lambda s: F.struct(total(s).alias("agreeing"), s.alias("low")))
+    enough = F.filter(sums, lambda x: x["agreeing"] * 100 >= n * percent)
+    first = lambda s: F.get(F.filter(F.sequence(s, s + n - 1), same), F.lit(0))
+    return F.transform(
+        F.filter(F.array(enough), lambda e: F.size(e) > 0),
+        lambda e: F.struct(F.array_max(e)["agreeing"].alias("agreeing"), (diagonal + first(F.get(e, F.lit(0))["low"])).alias("first")),
     )
-    return F.when(F.array_max(sums) * 100 >= n * percent, F.array_max(sums))
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 80, least: int = 5, block_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, item_id, n_hits, words_agreeing, first_word: a row for each document and item."""
     items = materialize(benchmark.select("item_id", word_hashes(F.col("text")).alias("_item")).filter(f"size(_item) >= {least}").withColumn("_key", F.xxhash64("item_id", "_item")).dropDuplicates(["_key"]))
-    short = short_masks(items, least)
-    masks = (*MASKS, *short)
-    wanted = materialize(item_seeds(items, MASKS, short, least))
+    by_length = chosen_masks(items, window, percent)
+    masks = tuple(dict.fromkeys(m for chosen in by_length.values() for m in chosen))
+    wanted = materialize(item_seeds(items, by_length, window))
     blocks = max(1, -(-wanted.count() // block_rows))
     words_in_items = items.agg(F.coalesce(F.sum(F.size("_item")), F.lit(0))).head()[0]
     texts = items.select("_key", "item_id", "_item")
@@ -100,12 +120,12 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 13, perce
         hits = windows.join(F.broadcast(block) if blocks == 1 else bounded(block, 2 * block_rows), "seed").join(texts, "_key")
         start = (F.col("_pos") % F.size("_words")).cast("int")
         hits = hits.withColumn("_diagonal", start - F.col("at"))
-        agreeing = agreement(F.col("_words"), F.col("_item"), F.col("_diagonal"), F.col("at"), window, percent)
-        found.append(hits.select("doc_id", "item_id", agreeing.alias("agreeing"), start.alias("start")).filter("agreeing is not null"))
+        agreeing = agreement(F.col("_words"), F.col("_item"), F.col("_diagonal"), F.col("at"), F.col("span"), window, percent)
+        found.append(hits.select("doc_id", "item_id", F.explode(agreeing).alias("_found")).select("doc_id", "item_id", "_found.agreeing", "_found.first"))
     return (
         reduce(DataFrame.unionByName, found)
         .groupBy("doc_id", "item_id")
-        .agg(F.count(F.lit(1)).alias("n_hits"), F.max("agreeing").alias("words_agreeing"), F.min("start").alias("first_word"))
+        .agg(F.count(F.lit(1)).alias("n_hits"), F.max("agreeing").alias("words_agreeing"), F.min("first").alias("first_word"))
     )
 
 

@@ -7,14 +7,12 @@ fitted models, and are tested against brute force, round trips or held-out rows.
 from __future__ import annotations
 
 from . import secret_scan
-from .decontamination import SPAN
 from .sharding import BLOCKS, MULTIPLIER
 
 ORACLES: dict[str, str] = {}
 
 # Places of equal words on a diagonal of document and item; every stretch of `n` item words with
-# enough of them counts.  Seeds find all of these but for stretches in which every seed holds a
-# changed word; the passages in the test tables are whole.
+# enough of them counts.
 ORACLES["op3_decontamination"] = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words FROM benchmark),
@@ -98,5 +96,3 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
   row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(doc_id || '/' || text_crc32), 1, 8))::BIGINT % {BLOCKS}, doc_id, text_crc32, size) - 1 AS slot, grown_shard
 FROM d JOIN placed USING (doc_id)
 """
-
-assert SPAN <= 13

@@ -1,7 +1,10 @@
+import itertools
 import random
 import re
 
-from entitylink.llm.decontamination import drop_contaminated, find_passages
+import pytest
+
+from entitylink.llm.decontamination import drop_contaminated, find_passages, masks_for
 
 from .helpers import documents, odd_rows
 
@@ -64,3 +67,31 @@ def test_drop_and_odd_rows(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert find_passages(docs, none).count() == 0
     assert find_passages(documents(spark, []), benchmark).count() == 0
+
+
+@pytest.mark.parametrize("percent", [60, 80, 100])
+@pytest.mark.parametrize("n", range(1, 11))
+def test_masks_leave_a_seed_whole(n, percent):
+    differ = max(k for k in range(n) if 100 * (n - k) >= percent * n)
+    kept = [{at + k for k, c in enumerate(m) if c == "1"} for m in masks_for(n, percent) for at in range(n - len(m) + 1)]
+    assert all(any(own.isdisjoint(changed) for own in kept) for changed in itertools.combinations(range(n), differ))
+
+
+def every_substitution(spark, lengths):
+    rows, items, want = [], [], set()
+    for n in lengths:
+        item = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for changed in itertools.combinations(range(min(n, 13)), min(n, 13) - -(-min(n, 13) * 80 // 100)):
+            # of a longer item only a stretch of 13 words stands in the document
+            own = ["changed" if k in changed else w for k, w in enumerate(item[:13])]
+            low = next(k for k in range(n) if k not in changed)
+            want.add((len(rows), n, len(own) - len(changed), 3 + low))
+            rows.append((len(rows), " ".join(["before"] * 3 + own + ["after"] * 3)))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = find_passages(documents(spark, rows), benchmark).collect()
+    assert {(r.doc_id, r.item_id, r.words_agreeing, r.first_word) for r in got} == want and len(got) == len(want)
+
+
+def test_every_substitution_in_short_items(spark):
+    every_substitution(spark, range(5, 11))
