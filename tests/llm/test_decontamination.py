@@ -70,7 +70,7 @@ def test_drop_and_odd_rows(spark):
 
 
 @pytest.mark.parametrize("percent", [60, 80, 100])
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 16))
 def test_masks_leave_a_seed_whole(n, percent):
     differ = max(k for k in range(n) if 100 * (n - k) >= percent * n)
     kept = [{at + k for k, c in enumerate(m) if c == "1"} for m in masks_for(n, percent) for at in range(n - len(m) + 1)]
@@ -95,3 +95,7 @@ def every_substitution(spark, lengths):
 
 def test_every_substitution_in_short_items(spark):
     every_substitution(spark, range(5, 11))
+
+
+def test_every_substitution_in_long_items(spark):
+    every_substitution(spark, (11, 12, 13, 20))
