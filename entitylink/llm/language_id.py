@@ -101,8 +101,8 @@ def viterbi(scores: np.ndarray, each: np.ndarray, penalty: float) -> np.ndarray:
     active = np.searchsorted(-lengths, -np.arange(1, steps + 1), "right") if steps else np.zeros(0, int)
     total = np.zeros((len(order), scores.shape[1]))
     final = np.zeros_like(total)
-    back = np.zeros(scores.shape, np.int8)
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    own = np.arange(scores.shape[1], dtype=np.min_scalar_type(scores.shape[1]))
+    back = np.zeros(scores.shape, own.dtype)
     for t in range(steps):
         n = active[t]
         at = first[:n] + t

@@ -68,6 +68,13 @@ def test_viterbi_is_the_best_path():
             low += n
 
 
+@pytest.mark.parametrize("languages", [3, 128, 129, 200, 257, 70_000])
+def test_viterbi_with_many_languages(languages):
+    scores = np.full((4, languages), -9.0)
+    scores[:, languages - 1] = 0
+    assert language_id.viterbi(scores, np.array([4]), 3.0).tolist() == [languages - 1] * 4
+
+
 WORDS = {
     "en": "the and with that house which never thought would through".split(),
     "de": "und nicht schön über haus straße werden durch gewöhnlich zwischen".split(),
