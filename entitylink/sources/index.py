@@ -17,6 +17,7 @@ from ..functions import text
 from ..functions.text import COMPUTED, SYMBOL, TERM
 from ..plans import RawLUT
 
+# The types and kinds of entities; below, names of fields, scores and sources.
 DISEASE, TARGET, DRUG = "DS", "GP", "CD"
 LABEL, ID = "label", "id"
 
@@ -41,24 +42,26 @@ def as_is(label: Column) -> Column:
     return F.array(label)
 
 
+def labelled(rows: DataFrame, keep: Column, fields: list[Field]) -> DataFrame:
+    """keep, name, entityScore, nlpPipelineTrack, entitySource: a row for each label of each field.
+    Null arrays have no labels.  A computed track is told from the label as it came."""
+    settings = F.array(*(F.struct(f.labels.alias("labels"), F.lit(f.track).alias("track"), F.lit(f.score).alias("score"), F.lit(f.source).alias("source")) for f in fields))
+    names = rows.select(keep, F.explode(settings).alias("f"))
+    (kept, _) = names.columns
+    names = names.select(kept, "f.track", "f.score", "f.source", F.explode("f.labels").alias("name"))
+    track = F.when(F.col("track") == COMPUTED, text.determine_track(F.col("name"))).otherwise(F.col("track"))
+    return names.select(kept, "name", F.col("score").alias("entityScore"), track.alias("nlpPipelineTrack"), F.col("source").alias("entitySource"))
+
+
 def build(index: DataFrame, fields: list[Field], entity_type: str, kind: str, spell: Callable[[Column], Column]) -> DataFrame:
     """A row for each id, field and spelling; empty labels and repeated rows go."""
-    entity = F.explode(F.flatten(F.array(*(text.annotate(*f) for f in fields))))
-    rows = index.select(F.col("id").alias("entityId"), entity.alias("e"))
-    return finish(rows.select("entityId", F.explode(spell(F.col("e.entityLabel"))).alias("entityLabel"), "e"), entity_type, kind)
+    rows = labelled(index, F.col("id").alias("entityId"), fields)
+    return finish(rows.withColumn("entityLabel", F.explode(spell(F.col("name")))), entity_type, kind)
 
 
 def finish(rows: DataFrame, entity_type: str, kind: str) -> DataFrame:
     return (
-        rows.select(
-            "entityId",
-            "entityLabel",
-            F.col("e.entityScore").alias("entityScore"),
-            F.col("e.nlpPipelineTrack").alias("nlpPipelineTrack"),
-            F.col("e.entitySource").alias("entitySource"),
-            F.lit(entity_type).alias("entityType"),
-            F.lit(kind).alias("entityKind"),
-        )
+        rows.select("entityId", "entityLabel", "entityScore", "nlpPipelineTrack", "entitySource", F.lit(entity_type).alias("entityType"), F.lit(kind).alias("entityKind"))
         .filter(text.not_empty(F.col("entityLabel")))
         .distinct()
     )
@@ -174,11 +177,12 @@ class DiseaseCuration:
             known = single.select("entityId", _joinable("entityLabel").alias("key"))
         else:
             known = disease_index.select(F.col("id").alias("entityId"), _joinable("id").alias("key"))
-        label = text.clean_prefix(F.trim("PROPERTY_VALUE"))
-        curated = disease_curation.select(
+        tagged = disease_curation.select(
             F.lower(F.regexp_extract("SEMANTIC_TAG", r"^http.+/(\w+_\w+)$", 1)).alias("key"),
-            F.explode(text.annotate(F.array(label), COMPUTED, 1.0, curation_source)).alias("e"),
-        ).select("key", F.explode(text.alternatives(F.col("e.entityLabel"))).alias("entityLabel"), "e")
+            text.clean_prefix(F.trim("PROPERTY_VALUE")).alias("label"),
+        )
+        curated = labelled(tagged, F.col("key"), [Field(one("label"), COMPUTED, 1.0, curation_source)])
+        curated = curated.withColumn("entityLabel", F.explode(text.alternatives(F.col("name"))))
         rows = curated.join(known, "key").filter(~F.col("entityLabel").rlike(r"^[12]\)$") & text.not_empty(F.col("entityId")))
         return RawLUT(finish(rows, DISEASE, LABEL))
 
