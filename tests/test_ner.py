@@ -40,6 +40,30 @@ def test_suffixes(spark):
     assert got == [["apamistmab"], ["trastuzumab"], ["rituximab"], [], ["olol"], ["étanercept"], [], [], []]
 
 
+def test_published_labels_by_suffix(spark):
+    """Labels with the names a model finds in them; the suffix tier gives those that end in a suffix."""
+    cases = {
+        "0.01% Atropine": [], "131I-apamistmab": ["apamistmab"], "15 mg tolvaptan": [], "2% Chlorhexidine solution wipes": [], "81 mg enteric coated aspirin": [],
+        "clopidogrel napadisilate + aspirin": [], "(B) zidovudine, lamivudine and efavirenz": [], "Clopidogrel plus ASA": [], "possibly trastuzumab": ["trastuzumab"],
+        "rituximab": ["rituximab"], "Niraparib Tosylate Monohydrate": [],
+    }
+    got = names(frame(spark, list(cases)).select("n", names_by_suffix(F.col("label")).alias("x")), "x")
+    assert got == list(cases.values())
+
+
+def test_published_labels(spark):
+    """The same labels end to end, with a model that answers as the public ones are known to."""
+    cases = {
+        "0.01% Atropine": ["atropine"], "131I-apamistmab": ["apamistmab"], "15 mg tolvaptan": ["tolvaptan"], "2% Chlorhexidine solution wipes": ["chlorhexidine"],
+        "81 mg enteric coated aspirin": ["aspirin"], "clopidogrel napadisilate + aspirin": ["aspirin", "clopidogrel napadisilate"],
+        "(B) zidovudine, lamivudine and efavirenz": ["efavirenz", "lamivudine", "zidovudine"], "Clopidogrel plus ASA": ["asa", "clopidogrel"],
+        "possibly trastuzumab": ["trastuzumab"], "rituximab": ["rituximab"], "Niraparib Tosylate Monohydrate": ["niraparib tosylate monohydrate"],
+    }
+    tier = [{t: [drug(n.capitalize(), "CHEMICAL") for n in found] for t, found in cases.items() if (len(found) > 1) == many} for many in (True, False)]
+    got = extract_drug_entities(spark, frame(spark, list(cases)), "label", primary_model=model_of(tier[0]), fallback_model=model_of(tier[1]))
+    assert names(got, "extracted_drugs") == list(cases.values())
+
+
 def test_tiers(spark, tmp_path):
     primary = {"aspirin 10": [drug("Aspirin"), drug("10"), drug("x"), drug("pain", "DISEASE")], "rituximab": [drug("para ##cet ##amol", "CHEMICAL")]}
     fallback = {"nada": [drug("Nada", "FARMACO")], "aspirin 10": [drug("wrong")]}
@@ -54,11 +78,11 @@ def test_tiers(spark, tmp_path):
 def test_switches(spark):
     answers = {"rituximab": [drug("other")]}
     df = frame(spark, ["rituximab"])
-    only = extract_drug_entities(spark, df, "label", use_regex=False, use_fallback=False, primary_model=model_of(answers))
+    only = extract_drug_entities(spark, df, "label", use_regex=False, use_drugtemist=False, primary_model=model_of(answers))
     assert names(only, "extracted_drugs") == [["other"]]
-    no_primary = extract_drug_entities(spark, df, "label", "d", use_primary=False, fallback_model=model_of(answers))
+    no_primary = extract_drug_entities(spark, df, "label", "d", use_biobert=False, fallback_model=model_of(answers))
     assert names(no_primary, "d") == [["rituximab"]]
-    for options in ({"use_primary": False, "use_fallback": False}, {"input_col": "none"}):
+    for options in ({"use_biobert": False, "use_drugtemist": False}, {"input_col": "none"}):
         with pytest.raises(ValueError):
             extract_drug_entities(spark, df, **({"input_col": "label"} | options))
     if importlib.util.find_spec("transformers") is None:
@@ -68,7 +92,7 @@ def test_switches(spark):
 
 def test_failures_give_no_names(spark):
     df = frame(spark, ["fail", "ok"])
-    got = extract_drug_entities(spark, df, "label", batch_size=1, use_fallback=False, primary_model=model_of({"ok": [drug("okay")]}))
+    got = extract_drug_entities(spark, df, "label", batch_size=1, use_drugtemist=False, primary_model=model_of({"ok": [drug("okay")]}))
     assert names(got, "extracted_drugs") == [[], ["okay"]]
 
 
