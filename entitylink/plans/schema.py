@@ -36,10 +36,10 @@ READY = T.StructType(
 
 
 class SchemaValidationError(Exception):
-    """Carries the issues by kind in `errors`."""
+    """Carries what was said in `message` and the issues by kind in `errors`."""
 
     def __init__(self, message: str, errors: dict[str, list[str]]) -> None:
-        self.errors = errors
+        self.message, self.errors = message, errors
         lines = (f"{kind}: {','.join(names)}" for kind, names in errors.items())
         super().__init__("\n".join([message, *lines]))
 
@@ -77,7 +77,7 @@ def _signature(item: T.StructField) -> tuple[str, str, bool]:
 
 def _types(observed: T.DataType, expected: T.DataType, name: str, issues: dict) -> None:
     if observed.typeName() != expected.typeName():
-        issues["columns_with_non_matching_type"].append(name)
+        issues["columns_with_non_matching_type"].append(f'For column "{name}" found {observed.typeName()} instead of {expected.typeName()}')
     elif isinstance(observed, T.StructType):
         _structs(observed, expected, f"{name}.", issues)
     elif isinstance(observed, T.ArrayType):

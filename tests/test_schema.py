@@ -19,7 +19,7 @@ def test_issues():
     assert compare_schemas(seen, RAW) == {
         "duplicated_columns": ["entityId"],
         "missing_mandatory_columns": ["entityLabel", "nlpPipelineTrack", "entitySource", "entityType", "entityKind"],
-        "columns_with_non_matching_type": ["entityScore"],
+        "columns_with_non_matching_type": ['For column "entityScore" found string instead of double'],
         "unexpected_columns": ["other"],
     }
 
@@ -29,7 +29,7 @@ def test_nested_issues():
     seen = T.StructType([*READY.fields[:3], T.StructField("entityIds", T.ArrayType(inner))])
     assert compare_schemas(seen, READY) == {
         "missing_mandatory_columns": ["entityIds[].entitySource"],
-        "columns_with_non_matching_type": ["entityIds[].entityId"],
+        "columns_with_non_matching_type": ['For column "entityIds[].entityId" found long instead of string'],
         "unexpected_columns": ["entityIds[].more"],
     }
 
@@ -38,6 +38,7 @@ def test_errors(spark):
     with pytest.raises(SchemaValidationError) as raised:
         ReadyLUT(frame(spark, RAW))
     assert "missing_mandatory_columns: entityLabelNormalised,entityIds" in str(raised.value)
+    assert raised.value.message == "the DataFrame does not fit the schema"
     assert raised.value.errors["unexpected_columns"] == ["entityId", "entityLabel", "entityScore", "nlpPipelineTrack", "entitySource"]
     with pytest.raises(TypeError):
         RawLUT("no frame")
