@@ -11,11 +11,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions import normalise, stem, text
 from .operators.mapper import EntityMapper, concat, normalise_table, rank_table
 from .operators.ner import extract_disease_entities, extract_drug_entities, names_by_suffix
-from .plans import RAW, RawLUT, compare_schemas
+from .plans import RawLUT, compare_schemas
 from .sources import DiseaseCuration, DiseaseIndex, DrugIndex, TargetIndex
 from .streaming import map_labels
 
@@ -92,6 +93,33 @@ def curation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- SQL of the functions ---------------------------------------------------------------------
 
+# Fixed values, written out here once more so that the SQL does not take them from what it checks.
+SQL_GREEK, SQL_GREEK_LATIN = "αβγδεζηικλμνξπρτυω", "abgdezhiklmnxprtuo"
+SQL_ACCENTED = "àèìòùáéíóúâêîôûäëïöüÀÈÌÒÙÁÉÍÓÚÂÊÎÔÛÄËÏÖÜãåõøÃÅÕØçñýÇÑÝ"
+SQL_PLAIN = "aeiouaeiouaeiouaeiouAEIOUAEIOUAEIOUAEIOUaaooAAOOcnyCNY"
+SQL_IRRELEVANT = "PMID|DOI:|ORCID|PERSON|ISBN|WIKIPEDIA|HTTP|QUANT|UM-BBD_PATHWAYID"
+SQL_STOP_WORDS = (
+    "about above after again against all am an and any are aren't as at be because been before being below between both but by "
+    "can't cannot could couldn't did didn't do does doesn't doing don't down during each few for from further had hadn't has "
+    "hasn't have haven't having he he'd he'll he's her here here's hers herself him himself his how how's i'd i'll i'm i've if in "
+    "into is isn't it it's its itself let's me more most mustn't my myself no nor not of off on once only or other ought our ours "
+    "ourselves out over own same shan't she she'd she'll she's should shouldn't so some such than that that's the their theirs "
+    "them themselves then there there's these they they'd they'll they're they've this those through to too under until up very "
+    "was wasn't we we'd we'll we're we've were weren't what what's when when's where where's which while who who's whom why why's "
+    "with won't would wouldn't you you'd you'll you're you've your yours yourself yourselves"
+).split()
+# Measures of a stem and the suffixes of the Porter stemmer (Porter, 1980).
+SQL_SOME = "^(?:[^aeiou][^aeiouy]*)?[aeiouy][aeiou]*[^aeiou][^aeiouy]*"
+SQL_ONE = "^(?:[^aeiou][^aeiouy]*)?[aeiouy][aeiou]*[^aeiou][^aeiouy]*(?:[aeiouy][aeiou]*)?$"
+SQL_TWO = "^(?:[^aeiou][^aeiouy]*)?(?:[aeiouy][aeiou]*[^aeiou][^aeiouy]*){2}"
+SQL_VOWEL = "^(?:[^aeiou][^aeiouy]*)?[aeiouy]"
+SQL_SHORT = "^[^aeiou][^aeiouy]*[aeiouy][^aeiouwxy]$"
+SQL_DOUBLE = "(?:bb|cc|dd|ff|gg|hh|jj|kk|mm|nn|pp|qq|rr|tt|vv|ww|xx)$"
+SQL_STEP2 = """ational ate tional tion enci ence anci ance izer ize bli ble alli al entli ent eli e ousli ous ization ize ation ate ator ate
+alism al iveness ive fulness ful ousness ous aliti al iviti ive biliti ble logi log""".split()
+SQL_STEP3 = "icate ic ative _ alize al iciti ic ical ic ful _ ness _".replace("_", "''").split()
+SQL_STEP4 = "al ance ence er ic able ible ant ement ment ent ou ism ate iti ous ive ize".split()
+
 
 def sql_track(x: str) -> str:
     letters = f"length(regexp_replace({x}, '[^A-Za-z]', '', 'g'))"
@@ -100,11 +128,11 @@ def sql_track(x: str) -> str:
 
 
 def sql_greek(x: str) -> str:
-    return f"translate({x}, '{text.GREEK}', '{text.GREEK_LATIN}')"
+    return f"translate({x}, '{SQL_GREEK}', '{SQL_GREEK_LATIN}')"
 
 
 def sql_spellings(x: str) -> str:
-    return f"[translate({sql_greek(x)}, '{text.ACCENTED}', '{text.PLAIN}'), {sql_greek(x)}]"
+    return f"[translate({sql_greek(x)}, '{SQL_ACCENTED}', '{SQL_PLAIN}'), {sql_greek(x)}]"
 
 
 def sql_symbol(x: str) -> str:
@@ -112,7 +140,7 @@ def sql_symbol(x: str) -> str:
 
 
 def sql_words(x: str) -> str:
-    words = ", ".join("'" + w.replace("'", "''") + "'" for w in normalise.stop_words())
+    words = ", ".join("'" + w.replace("'", "''") + "'" for w in ["a", "i", *SQL_STOP_WORDS, *(w[0].upper() + w[1:] for w in SQL_STOP_WORDS)])
     cut = f"regexp_split_to_array(coalesce({x}, ''), '[\\s\\-/:,;]+')"
     bare = f"list_transform({cut}, lambda w: regexp_replace(regexp_replace(w, '^[^\\w$.]+', ''), '\\W+$', ''))"
     kept = f"list_filter({bare}, lambda w: NOT list_contains([{words}], w))"
@@ -131,16 +159,17 @@ def sql_stems(source: str) -> str:
 
     step(1, f"CASE WHEN {match('s', '(?:ss|i)es$')} THEN {cut('s', 2)} WHEN {match('s', '[^s]s$')} THEN {cut('s', 1)} ELSE s END")
     base = cut("s", "length(x)")
-    mended = f"CASE WHEN {match(base, '(?:at|bl|iz)$')} OR {match(base, stem.SHORT)} AND NOT {match(base, stem.DOUBLE)} THEN {base} || 'e' WHEN {match(base, stem.DOUBLE)} THEN {cut(base, 1)} ELSE {base} END"
-    step(2, f"CASE WHEN x = 'eed' THEN CASE WHEN {match(base, stem.SOME)} THEN {cut('s', 1)} ELSE s END WHEN x <> '' AND {match(base, stem.VOWEL)} THEN {mended} ELSE s END", suffix("s", ("eed", "ed", "ing")))
-    step(3, f"CASE WHEN s LIKE '%y' AND {match(cut('s', 1), stem.VOWEL)} THEN {cut('s', 1)} || 'i' ELSE s END")
-    for n, names in ((4, stem.STEP2), (5, stem.STEP3)):
-        pairs = ", ".join(f"'{a}': '{b}'" for a, b in names.items())
-        step(n, f"CASE WHEN x <> '' AND {match(base, stem.SOME)} THEN {base} || MAP {{{pairs}}}[x] ELSE s END", suffix("s", names))
-    step(6, f"CASE WHEN {match('s', '[st]ion$')} THEN CASE WHEN {match(cut('s', 3), stem.TWO)} THEN {cut('s', 3)} ELSE s END WHEN x <> '' AND {match(base, stem.TWO)} THEN {base} ELSE s END", suffix("s", stem.STEP4))
+    mended = f"CASE WHEN {match(base, '(?:at|bl|iz)$')} OR {match(base, SQL_SHORT)} AND NOT {match(base, SQL_DOUBLE)} THEN {base} || 'e' WHEN {match(base, SQL_DOUBLE)} THEN {cut(base, 1)} ELSE {base} END"
+    step(2, f"CASE WHEN x = 'eed' THEN CASE WHEN {match(base, SQL_SOME)} THEN {cut('s', 1)} ELSE s END WHEN x <> '' AND {match(base, SQL_VOWEL)} THEN {mended} ELSE s END", suffix("s", ("eed", "ed", "ing")))
+    step(3, f"CASE WHEN s LIKE '%y' AND {match(cut('s', 1), SQL_VOWEL)} THEN {cut('s', 1)} || 'i' ELSE s END")
+    for n, table_of in ((4, SQL_STEP2), (5, SQL_STEP3)):
+        names = table_of[::2]
+        pairs = ", ".join(f"'{a}': '{b}'" for a, b in zip(names, (x.strip("'") for x in table_of[1::2]), strict=True))
+        step(n, f"CASE WHEN x <> '' AND {match(base, SQL_SOME)} THEN {base} || MAP {{{pairs}}}[x] ELSE s END", suffix("s", names))
+    step(6, f"CASE WHEN {match('s', '[st]ion$')} THEN CASE WHEN {match(cut('s', 3), SQL_TWO)} THEN {cut('s', 3)} ELSE s END WHEN x <> '' AND {match(base, SQL_TWO)} THEN {base} ELSE s END", suffix("s", SQL_STEP4))
     one = cut("s", 1)
-    step(7, f"CASE WHEN s LIKE '%e' AND ({match(one, stem.TWO)} OR {match(one, stem.ONE)} AND NOT {match(one, stem.SHORT)}) THEN {one} ELSE s END")
-    step(8, f"CASE WHEN s LIKE '%ll' AND {match('s', stem.TWO)} THEN {cut('s', 1)} ELSE s END")
+    step(7, f"CASE WHEN s LIKE '%e' AND ({match(one, SQL_TWO)} OR {match(one, SQL_ONE)} AND NOT {match(one, SQL_SHORT)}) THEN {one} ELSE s END")
+    step(8, f"CASE WHEN s LIKE '%ll' AND {match('s', SQL_TWO)} THEN {cut('s', 1)} ELSE s END")
     out.append("stemmed AS (SELECT word, regexp_replace(s, '^Y', 'y') AS stem FROM s8)")
     return ",\n".join(out)
 
@@ -215,7 +244,7 @@ def fn_combination_product(spark, sf_dir):
 _REFERENCE = "CASE p_partkey % 4 WHEN 0 THEN concat('PMID:', p_partkey) WHEN 1 THEN concat('xHTTPx', p_partkey) WHEN 2 THEN concat('UMLS:', p_partkey) END"
 
 
-@query(f"SELECT p_partkey, r FROM (SELECT p_partkey, {_REFERENCE} AS r FROM part) WHERE NOT regexp_matches(r, '{'|'.join(text.IRRELEVANT)}')")
+@query(f"SELECT p_partkey, r FROM (SELECT p_partkey, {_REFERENCE} AS r FROM part) WHERE NOT regexp_matches(r, '{SQL_IRRELEVANT}')")
 def xref_filter(spark, sf_dir):
     return table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_REFERENCE} AS r").filter(text.relevant_reference(F.col("r")))
 
@@ -264,7 +293,7 @@ def sql_lut(fields: list[tuple[str, str, str | None, float, str]], kind: str, en
     return f"SELECT DISTINCT *, '{entity_type}' AS entityType, '{kind}' AS entityKind FROM ({' UNION ALL '.join(parts)}) WHERE length(entityLabel) > 0"
 
 
-_PART, _RELEVANT = "concat('PART_', p_partkey)", f"NOT regexp_matches(upper(trim(l)), '{'|'.join(text.IRRELEVANT)}')"
+_PART, _RELEVANT = "concat('PART_', p_partkey)", f"NOT regexp_matches(upper(trim(l)), '{SQL_IRRELEVANT}')"
 SQL_DISEASE_LABEL = sql_lut(
     [
         (_PART, "p_name FROM part", None, 1.0, "name"),
@@ -418,7 +447,7 @@ ready AS (SELECT DISTINCT entityKind, entityType, key, entityId, entitySource FR
 @query(sql_ready(SQL_ALL_LABELS) + "SELECT entityKind, entityType, key AS entityLabelNormalised, string_agg(entityId || '|' || entitySource, ',' ORDER BY entityId, entitySource) AS ids FROM ready GROUP BY ALL")
 def lut_union_rank(spark, sf_dir):
     ready = rank_table(normalise_table(concat(label_tables(spark, sf_dir)))).df
-    pairs = F.transform(F.array_sort("entityIds"), lambda x: F.concat_ws("|", x["entityId"], x["entitySource"]))
+    pairs = F.transform(F.sort_array("entityIds"), lambda x: F.concat_ws("|", x["entityId"], x["entitySource"]))
     return ready.select("entityKind", "entityType", "entityLabelNormalised", F.array_join(pairs, ",").alias("ids"))
 
 
@@ -442,7 +471,7 @@ SELECT frame.* EXCLUDE (e, t), {'form AS entityLabelNormalised, ' if with_form e
 
 def joined_ids(df: DataFrame, with_source: bool = False) -> DataFrame:
     ids = F.transform("ids", lambda x: F.concat_ws("|", x["entityId"], x["entitySource"])) if with_source else F.col("ids")
-    return df.withColumn("ids", F.array_join(F.array_sort(ids), ","))
+    return df.withColumn("ids", F.array_join(F.sort_array(ids), ","))
 
 
 _FRAME = f"SELECT p_partkey % 500 AS k, CASE p_partkey % 4 WHEN 0 THEN concat('x#A00.1 ', p_name) WHEN 1 THEN upper(p_name) WHEN 2 THEN {ACCENTED} ELSE p_brand END AS label FROM part"
@@ -508,16 +537,23 @@ def map_document_words(spark, sf_dir):
     return joined_ids(found)
 
 
-@query(sql_map(_BENCHMARK, "SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS w FROM conversations)", "word", "'CD'", "label"))
+_TURNS = "SELECT conv_id, turn, split_part(text, ' ', 1) AS word FROM conversations"
+
+
+@query(sql_map(_BENCHMARK, _TURNS, "word", "'CD'", "label") + " JOIN (SELECT unnest([1, 2]) AS again) ON true")
 def map_rows_stateless(spark, sf_dir):
-    found = map_labels(mapper(spark, [benchmark_lut(spark, sf_dir)]), words(spark, sf_dir, "conversations"), "ids", "word", "CD")
-    return joined_ids(found)
+    """The first words of all turns, each given twice: no row waits for another, and repeated rows stay."""
+    turns = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "split_part(text, ' ', 1) AS word")
+    again = turns.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("again")).drop("again")
+    return joined_ids(map_labels(mapper(spark, [benchmark_lut(spark, sf_dir)]), again, "ids", "word", "CD"))
 
 
 @query(sql_ready(SQL_DISEASE_ID) + "SELECT entityType, key AS entityLabelNormalised, count(*) AS n_ids FROM ready GROUP BY ALL")
 def lut_cached(spark, sf_dir):
-    """The ready table of identifiers, through the cache folder where there is one."""
-    df = mapper(spark, [DiseaseIndex.as_id_lut(disease_index(spark, sf_dir))]).df
+    """The ready table of identifiers, written by one mapper and found by another that has nothing
+    to build it from."""
+    built = mapper(spark, [DiseaseIndex.as_id_lut(disease_index(spark, sf_dir))])
+    df = EntityMapper(spark, cache_dir=built.cache_dir).df if built.cache_dir else built.df
     return df.select("entityType", "entityLabelNormalised", F.size("entityIds").cast("long").alias("n_ids"))
 
 
@@ -582,9 +618,19 @@ def ner_disease(spark, sf_dir):
     return found.select("c_custkey", F.array_join("names", ",").alias("names"))
 
 
-@query("SELECT * FROM (VALUES ('columns_with_non_matching_type', 'entityScore'), ('missing_mandatory_columns', 'entityKind'), ('unexpected_columns', 'other')) t(issue, field)")
+_TYPE = "CASE {x} WHEN 'BIGINT' THEN 'long' WHEN 'INTEGER' THEN 'integer' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' ELSE lower({x}) END"
+
+
+@query(
+    f"""WITH seen AS (SELECT column_name AS name, {_TYPE.format(x='column_type')} AS kind FROM (DESCRIBE documents)),
+wanted AS (SELECT column_name AS name, {_TYPE.format(x='column_type')} AS kind FROM (DESCRIBE labels) UNION ALL SELECT 'text', 'double' UNION ALL SELECT 'n_chars', 'string')
+SELECT 'unexpected_columns' AS issue, name AS field FROM seen WHERE name NOT IN (SELECT name FROM wanted)
+UNION ALL SELECT 'missing_mandatory_columns', name FROM wanted WHERE name NOT IN (SELECT name FROM seen)
+UNION ALL SELECT 'columns_with_non_matching_type', 'For column "' || name || '" found ' || seen.kind || ' instead of ' || wanted.kind FROM seen JOIN wanted USING (name) WHERE seen.kind <> wanted.kind"""
+)
 def schema_report(spark, sf_dir):
-    """What the comparison says about a table with a wrong type, a missing and an unknown column."""
-    odd = DiseaseIndex.as_id_lut(disease_index(spark, sf_dir)).df.withColumn("entityScore", F.lit("x")).withColumnRenamed("entityKind", "other")
-    issues = compare_schemas(odd.schema, RAW)
+    """What the comparison says about the documents beside the columns of the labels and two of other types."""
+    wanted = T.StructType([T.StructField(f.name, f.dataType, False) for f in table(spark, sf_dir, "labels").schema])
+    wanted = wanted.add("text", "double", False).add("n_chars", "string", False)
+    issues = compare_schemas(table(spark, sf_dir, "documents").schema, wanted)
     return spark.createDataFrame([(k, name) for k, names in issues.items() for name in names], "issue string, field string")
