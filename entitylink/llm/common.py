@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Sequence
 from pathlib import Path
@@ -41,6 +44,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate rows that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in shared storage, deleted when the driver ends if it is still there."""
+    folder = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def at_end() -> None:
+        with contextlib.suppress(Exception):  # the session may be gone by then
+            remove(spark, folder)
+
+    atexit.register(at_end)
+    return folder
+
+
 _shipped: set[str] = set()
 
 
@@ -60,12 +81,14 @@ BATCH_BYTES = 4 << 20
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once, for the operators that run Python there, and keep
-    batches small: texts may be long, so a number of rows does not bound a batch."""
+    batches small: texts may be long, so a number of rows does not bound a batch.  A size of
+    batches that the user has set stays; the session keeps the one set here, as plans run later."""
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _ship(spark)
         _shipped.add(app)
-    spark.conf.set(BATCH, str(BATCH_BYTES))
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -74,6 +97,28 @@ def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+#: A key is hot if more rows than this, and more than a thousandth of all rows, share it.
+HOT_ROWS = 256
+
+
+def hot_keys(rows: DataFrame, key: str, count: int) -> DataFrame:
+    """key, _copies: the keys that so many of the `count` rows share that they are split, and into
+    how many parts.  There are a thousand at most, however many rows there are."""
+    most = max(HOT_ROWS, count // 1000)
+    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(f"_n > {most}")
+    return materialize(counted.select(key, F.ceil(F.col("_n") / most).cast("int").alias("_copies")))
+
+
+def join_one(rows: DataFrame, one: DataFrame, key: str, count: int) -> DataFrame:
+    """rows joined with `one`, which has a narrow row for each key at most.  What belongs to hot
+    keys is broadcast (a thousand rows at most), so no task gets all rows of such a key."""
+    hot = hot_keys(rows, key, count).select(key)
+    if not hot.take(1):
+        return rows.join(one, key)
+    heads = F.broadcast(one.join(F.broadcast(hot), key, "left_semi"))
+    return rows.join(heads, key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(one, key))
+
+
 #: Rows of a few numbers that a task of a small job gets at least.
 TASK_ROWS = 20_000
 

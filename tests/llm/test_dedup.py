@@ -4,10 +4,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from entitylink.llm import shingles
 from entitylink.llm.components import components
-from entitylink.llm.exact_dedup import drop_copies, exact_groups
+from entitylink.llm.exact_dedup import digests, drop_copies, exact_groups, exchange
 from entitylink.llm.minhash_dedup import between, drop_near_copies, near_groups, sketches
 
 from .helpers import documents, odd_rows
@@ -17,10 +18,10 @@ def lowered(text):
     return (text or "").encode().lower()
 
 
-@pytest.mark.parametrize("keep", ["max", "min"])
-def test_exact_groups(spark, keep):
-    rows = odd_rows()
-    got = exact_groups(documents(spark, rows), keep=keep, runs=8, fan_in=2).collect()
+@pytest.mark.parametrize(("keep", "runs", "fan_in"), [("max", 8, 2), ("min", 8, 2), ("min", 16, 4), ("max", None, 4)])
+def test_exact_groups(spark, keep, runs, fan_in):
+    rows = [*odd_rows(), (-(1 << 63), "ONE"), ((1 << 63) - 1, "One")]
+    got = exact_groups(documents(spark, rows), keep=keep, runs=runs, fan_in=fan_in).collect()
     groups = defaultdict(list)
     for i, t in rows:
         groups[hashlib.sha256(lowered(t)).hexdigest()].append(i)
@@ -43,6 +44,26 @@ def test_drop_copies_keeps_columns_and_one_row(spark):
     assert drop_copies(documents(spark, [])).count() == 0
 
 
+def test_rounds_bring_few_rows_of_a_digest_together(spark):
+    """After each round, the runs that are left for a digest are as many as its bits leave open."""
+    docs = documents(spark, [(i, "the same") for i in range(300)])
+    rows = digests(docs, "doc_id", "text", 16).withColumn("_best", F.struct(F.lit(True).alias("first"), "doc_id", F.col("_run").alias("run"))).withColumn("_size", F.lit(1))
+    runs = rows.groupBy("_run", "_sha", "_bytes", "_xx").agg(F.max("_best").alias("_best"), F.sum("_size").alias("_size"))
+    left = [runs.count()]
+    for k in range(4):
+        runs = exchange(runs, 1 << k, "max")
+        left.append(runs.count())
+    assert left == [16, 8, 4, 2, 1] and runs.head()._best.doc_id == 299 and runs.head()._size == 300
+
+
+def test_drop_copies_leaves_columns_of_its_own_names_alone(spark):
+    names = ["_id", "_of", "_sha", "_row", "_won", "_run", "_size", "_best", "kept"]
+    rows = [(7, "a text", *names), (7, "a text", *names), (7, "other", *names), (8, "other", *names), (None, "a text", *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    left = sorted(drop_copies(docs).collect())
+    assert left == [(7, "a text", *names), (8, "other", *names)] and drop_copies(docs).columns == docs.columns
+
+
 def brute_components(rows, width, percent):
     sets = {i: shingles.plain_set((t or "").encode(), width) for i, t in rows}
     parent = {i: i for i in sets}
