@@ -6,13 +6,13 @@ seeds of the benchmark meet those of every window of every document; around a hi
 document and item are laid side by side on the hit's diagonal, and the hit counts if some stretch
 of `window` words that holds the seed (the whole item, if it is shorter) agrees in `percent` of its
 places.  The masks for a length of stretch leave a seed whole wherever the words that may differ
-stand, so no stretch that would count is missed.  Items of fewer than `least` words are not sought.
+stand, so no stretch that would count is missed; items of fewer than five words must stand whole.
 
 The benchmark is the stated query set: its seeds are broadcast in blocks of a checked number of
 rows, and every block is joined with all windows.  Documents are read once for each block and not
 shuffled; verified hits, of a few numbers each, are.
 
-Cases: null or empty texts have no windows.  Repeated rows are reported once.  Rows with a null
+Cases: null or empty texts have no windows; very long ones have one for each word, a row at a time.  Repeated rows are reported once.  Rows with a null
 doc_id are reported together under null.  Items with null text, an empty benchmark or an empty
 table give no rows.  Other columns are ignored.
 """
@@ -53,16 +53,19 @@ def word_hashes(text: Column) -> Column:
     return F.transform(found, lambda w: F.xxhash64(w))
 
 
-def seeds(words: Column, masks: tuple[str, ...]) -> Column:
-    """For each mask in turn and each word, the seed of the window that starts there.  The array of
-    words is bound once (a lambda over it would compute it again for each element).  Windows that
-    run over the end lack words; their seeds meet nothing but by chance."""
+def seed(words: Column, start: Column, mask: str) -> Column:
+    """The hash of the words that the mask keeps of those from `start` on; null where it runs over
+    the end."""
+    kept = [F.get(words, start + k) for k, c in enumerate(mask) if c == "1"]
+    return F.when(start + len(mask) <= F.size(words), F.xxhash64(F.lit(mask), *kept))
 
-    def of(mask: str):
-        kept = [k for k, c in enumerate(mask) if c == "1"]
-        return lambda h: F.transform(h, lambda _, i: F.xxhash64(F.lit(mask), *(F.get(h, i + k) for k in kept)))
 
-    return F.flatten(F.transform(F.array(words), lambda h: F.concat(F.array().cast("array<bigint>"), *(of(m)(h) for m in masks))))
+def windows(rows: DataFrame, words: str, masks: tuple[str, ...]) -> DataFrame:
+    """rows with _pos (the word at which a window starts), _span and seed: a row for each word and
+    mask.  Words come first and masks next, so that seeds are compiled and not computed in a lambda."""
+    placed = rows.select(*rows.columns, F.posexplode(words).alias("_pos", "_word")).drop("_word")
+    each = F.explode(F.array(*(F.struct(F.lit(len(m)).alias("span"), seed(F.col(words), F.col("_pos"), m).alias("seed")) for m in masks)))
+    return placed.withColumn("_seed", each).select(*rows.columns, "_pos", F.col("_seed.span").alias("_span"), F.col("_seed.seed").alias("seed"))
 
 
 def chosen_masks(items: DataFrame, window: int, percent: int) -> dict[int, tuple[str, ...]]:
@@ -75,9 +78,8 @@ def item_seeds(items: DataFrame, masks: dict[int, tuple[str, ...]], window: int)
     """seed, _key, at (the word at which the window starts), span."""
     tables = [items.selectExpr("0L as seed", "_key", "0 as at", "0 as span").limit(0)]
     for length, chosen in masks.items():
-        for mask in chosen:
-            rows = items.filter(F.least(F.lit(window), F.size("_item")) == length).select("_key", F.size("_item").alias("n"), F.posexplode(seeds(F.col("_item"), (mask,))).alias("at", "seed"))
-            tables.append(rows.filter(f"at + {len(mask)} <= n").select("seed", "_key", "at", F.lit(len(mask)).alias("span")))
+        own = items.filter(F.least(F.lit(window), F.size("_item")) == length).select("_key", "_item")
+        tables.append(windows(own, "_item", chosen).filter("seed is not null").select("seed", "_key", F.col("_pos").alias("at"), F.col("_span").alias("span")))
     return reduce(DataFrame.unionByName, tables)
 
 
@@ -97,8 +99,10 @@ def agreement(words: Column, item: Column, diagonal: Column, at: Column, span: C
     )
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 80, least: int = 5, block_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, item_id, n_hits, words_agreeing, first_word: a row for each document and item."""
+def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 80, least: int = 1, block_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, item_id, n_hits, words_agreeing, first_word: a row for each document and item.
+
+    least: leaves out items of fewer words, for a benchmark whose short answers are plain words."""
     items = materialize(benchmark.select("item_id", word_hashes(F.col("text")).alias("_item")).filter(f"size(_item) >= {least}").withColumn("_key", F.xxhash64("item_id", "_item")).dropDuplicates(["_key"]))
     by_length = chosen_masks(items, window, percent)
     masks = tuple(dict.fromkeys(m for chosen in by_length.values() for m in chosen))
@@ -107,18 +111,13 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 13, perce
     words_in_items = items.agg(F.coalesce(F.sum(F.size("_item")), F.lit(0))).head()[0]
     texts = items.select("_key", "item_id", "_item")
     texts = F.broadcast(texts) if words_in_items <= BROADCAST_ROWS else texts
-    windows = (
-        docs.select("doc_id", word_hashes(F.col("text")).alias("_words"))
-        .select("doc_id", "_words", seeds(F.col("_words"), masks).alias("_seeds"))
-        .select("doc_id", "_words", F.posexplode("_seeds").alias("_pos", "seed"))
-    )
+    seen = windows(docs.select("doc_id", word_hashes(F.col("text")).alias("_words")), "_words", masks or ("1",))
     found = []
     for k in range(blocks):
         block = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == k)
         # a block of twice the mean would need one seed to hold a whole block's rows
-        hits = windows.join(F.broadcast(block) if blocks == 1 else bounded(block, 2 * block_rows), "seed").join(texts, "_key")
-        start = (F.col("_pos") % F.size("_words")).cast("int")
-        hits = hits.withColumn("_diagonal", start - F.col("at"))
+        hits = seen.join(F.broadcast(block) if blocks == 1 else bounded(block, 2 * block_rows), "seed").join(texts, "_key")
+        hits = hits.withColumn("_diagonal", F.col("_pos") - F.col("at"))
         agreeing = agreement(F.col("_words"), F.col("_item"), F.col("_diagonal"), F.col("at"), F.col("span"), window, percent)
         found.append(hits.select("doc_id", "item_id", F.explode(agreeing).alias("_found")).select("doc_id", "item_id", "_found.agreeing", "_found.first"))
     return (
@@ -129,9 +128,12 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 13, perce
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that hold a benchmark passage; rows without a doc_id stay."""
-    found = find_passages(docs, benchmark, **options).select("doc_id").filter("doc_id is not null").distinct()
-    return without(docs, materialize(found))
+    """docs without the rows that hold a benchmark passage, each row by itself, whether its doc_id is
+    null or that of other rows; columns as they were, whatever their names."""
+    name = F.struct(docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("text"))
+    found = find_passages(docs.select(name.alias("doc_id"), docs["text"]), benchmark, **options).select("doc_id").distinct()
+    rows = docs.select(name.alias("doc_id"), F.struct(*[docs[c] for c in docs.columns]).alias("_of"))
+    return without(rows, materialize(found)).select("_of.*")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

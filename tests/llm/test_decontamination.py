@@ -13,7 +13,7 @@ def words_of(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 
 
-def brute(rows, items, window=13, percent=80, least=5):
+def brute(rows, items, window=13, percent=80, least=1):
     found = set()
     for i, text in rows:
         doc = words_of(text)
@@ -44,7 +44,7 @@ def tables(spark, rng):
             at = rng.randrange(40)
             own[at:at] = [w.upper() + "," for w in passage]
         rows.append((i, " ".join(own)))
-    return rows, [*items, (100, None), (101, ""), (102, "too few words"), (None, " ".join(say(20)))]
+    return rows, [*items, (100, None), (101, ""), (102, "v1 v2"), (103, "V7"), (104, "v3 v4 v5"), (105, "few words there"), (None, " ".join(say(20)))]
 
 
 def test_like_brute_force(spark):
@@ -60,10 +60,16 @@ def test_like_brute_force(spark):
 def test_drop_and_odd_rows(spark):
     passage = "the quick brown fox jumps over the lazy dog while many birds sing in a tree"
     benchmark = spark.createDataFrame([(1, passage)], "item_id long, text string")
-    docs = documents(spark, [*odd_rows(), (20, f"before {passage.title()} after"), (20, "clean"), (21, "the quick brown fox only")])
+    docs = documents(spark, [*odd_rows(), (20, f"before {passage.title()} after"), (20, "clean"), (None, passage), (None, "clean"), (21, "the quick brown fox only")])
     left = drop_contaminated(docs, benchmark)
     assert left.columns == docs.columns
-    assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == sorted([i for i, _ in odd_rows() if i is not None] + [21])
+    kept = left.collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted([i for i, _ in odd_rows() if i is not None] + [20, 21])
+    assert [r.text for r in kept if r.doc_id == 20] == ["clean"]
+    assert sorted(r.text or "" for r in kept if r.doc_id is None) == ["", "clean", "no id, some text"]
+    clash = docs.withColumnsRenamed({"score": "_of", "row": "seed", "shard": "_pos"})
+    assert drop_contaminated(clash, benchmark).columns == clash.columns and drop_contaminated(clash, benchmark).count() == len(kept)
+    assert find_passages(clash, benchmark, least=17).count() == 0
     none = spark.createDataFrame([], "item_id long, text string")
     assert find_passages(docs, none).count() == 0
     assert find_passages(documents(spark, []), benchmark).count() == 0
@@ -94,7 +100,7 @@ def every_substitution(spark, lengths):
 
 
 def test_every_substitution_in_short_items(spark):
-    every_substitution(spark, range(5, 11))
+    every_substitution(spark, range(1, 11))
 
 
 def test_every_substitution_in_long_items(spark):
