@@ -1,28 +1,34 @@
-"""Secrets in whole texts: a trigram index picks the documents that a rule is tried on.
+"""Secrets in whole texts: a trigram index picks the rules that a document is tried on.
 
 From each rule's regular expression a Boolean query over trigrams is derived that every match must
-satisfy (after Cox, "Regular Expression Matching with a Trigram Index").  The inverted index holds
-a posting (trigram, document) for each trigram that some query names; postings are intersected by
-document, and a rule is verified on its candidates only.  Rules whose query is empty, as that for
-runs of hexadecimal digits, scan all documents.
+satisfy (after Cox, "Regular Expression Matching with a Trigram Index").  The index is inverted by
+literal: the trigrams of a literal that some query names lead to the documents that hold them all.
+Its postings are written beside each document in the scan that reads the text, a trigram being
+sought only if those before it in its literal were found; a rule's clauses are intersected there,
+and the rule is verified on its candidates only, in the same pass.  (A table of postings of its
+own would have to meet whole texts again.)  Rules whose query is empty, as that for runs of
+hexadecimal digits, scan all documents.
 
 Spans are [start, end) in code points.  A kind's matches are the leftmost ones that do not overlap;
-those that are too short are dropped after matching.
+those that are too short are dropped after matching.  Places come from running sums over the
+matches and what lies between them, taken by doubling: n matches cost n log n.
 
-Cases: a null or empty text has no spans.  Rows that share a doc_id (or have none) share their
-candidate rules, which the verification makes good; each row has its own result.  An empty table
-gives an empty result; other columns are ignored.
+Cases: a null or empty text has no spans; very long texts are read whole, however many matches they
+hold.  Each row has its own result, whether its doc_id is null or that of other rows.  An empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize, read
+from .common import read
 
 
 @dataclass(frozen=True)
@@ -113,51 +119,42 @@ def trigram_query(pattern: str) -> Query:
     return clauses
 
 
-def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The inverted index: trigram (its number), doc_id."""
-    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    held = F.transform(F.array(low), lambda t: F.array_compact(F.array(*(F.when(t.contains(x), F.lit(n)) for n, x in enumerate(trigrams)))))
-    return docs.select("doc_id", F.explode(F.flatten(held)).alias("trigram"))
+def postings(low: Column, literals: list[frozenset[str]]) -> Column:
+    """For each literal (a set of trigrams), whether a lower-cased text holds all its trigrams."""
+    return F.array(*(reduce(and_, (low.contains(x) for x in sorted(own))) for own in literals))
 
 
-def candidates(index: DataFrame, rules: list[tuple[int, Query]], trigrams: list[str]) -> DataFrame:
-    """doc_id, rules (the numbers of the rules whose queries the document's postings satisfy)."""
-    number = {x: n for n, x in enumerate(trigrams)}
+def candidates(held: Column, rules: list[Query], literals: list[frozenset[str]]) -> Column:
+    """For each rule, whether a document's postings satisfy its query.  An empty query always holds."""
+    number = {own: n for n, own in enumerate(literals)}
+    holds = lambda query: reduce(and_, (reduce(or_, (F.get(held, number[own]) for own in clause)) for clause in query), F.lit(True))
+    return F.array(*map(holds, rules))
 
-    def holds(query: Query) -> Column:
-        result = F.lit(True)
-        for clause in query:
-            either = F.lit(False)
-            for needed in clause:
-                every = F.lit(True)
-                for x in sorted(needed):
-                    every &= F.array_contains("_held", number[x])
-                either |= every
-            result &= either
-        return result
 
-    # a document has as many different postings as the rules name trigrams, at most
-    held = index.groupBy("doc_id").agg(F.collect_set("trigram").alias("_held"))
-    return held.select("doc_id", F.array_compact(F.array(*(F.when(holds(q), F.lit(n)) for n, q in rules))).alias("rules")).filter("size(rules) > 0")
+def running_sums(values: Column) -> Column:
+    """Sums of an array's elements up to each.  In each of log n steps an element takes on the sum
+    of as many before it as it has itself, so that no array is built an element at a time."""
+    steps = F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")
+    reach = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    doubled = lambda now, k: F.transform(now, lambda x, i: x + F.when(i >= reach(k), F.get(now, i - reach(k))).otherwise(0))
+    return F.aggregate(F.sequence(F.lit(0), steps), values, doubled)
 
 
-def matches(text: Column, number: int, rule: Rule) -> Column:
-    """array<struct<start, kind, end>> of a rule's matches: what a split leaves between them and
-    what they hold gives their places."""
-    pattern = F.lit(rule.pattern)
-    pairs = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("secret"))
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
+NO_SPANS = "cast(array() as array<struct<start:int,kind:int,end:int>>)"
 
-    def step(so_far, x):
-        start = so_far["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"))
-        return F.when(F.length(x["secret"]) >= rule.least, F.struct(end.alias("at"), F.concat(so_far["spans"], F.array(span)).alias("spans"))).otherwise(
-            F.struct(F.coalesce(end, start).alias("at"), so_far["spans"].alias("spans"))
-        )
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda done: done["spans"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(none)
+def matches(text: Column, number: int, rule: Rule) -> Column:
+    """array<struct<start, kind, end>> of a rule's matches, from what a split leaves between them
+    and what they hold."""
+    pattern = F.lit(rule.pattern)
+    lengths = lambda x: F.transform(x, lambda s: F.length(s))
+    hits = F.regexp_extract_all(text, pattern, F.lit(0))
+    secrets = hits if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
+    # a gap comes before each hit, and one more follows the last
+    both = F.zip_with(lengths(F.split(text, rule.pattern, -1)), lengths(hits), lambda gap, hit: gap + F.coalesce(hit, F.lit(0)))
+    spans = F.zip_with(F.zip_with(running_sums(both), hits, lambda end, hit: F.struct(end.alias("end"), F.length(hit).alias("n"))), secrets, lambda x, s: F.struct((x["end"] - x["n"]).alias("start"), F.lit(number).alias("kind"), x["end"].alias("end"), (F.length(s) >= rule.least).alias("long")))
+    found = F.transform(F.filter(spans, lambda x: F.coalesce(x["long"], F.lit(False))), lambda x: F.struct(x["start"], x["kind"], x["end"]))
+    return F.when(text.rlike(rule.pattern), found).otherwise(F.expr(NO_SPANS))
 
 
 def rendered(spans: Column, kinds: list[str]) -> Column:
@@ -175,18 +172,14 @@ def find_secrets(docs: DataFrame, base: tuple[Rule, ...] = BASE, added: tuple[Ru
     secrets is array<struct<start, kind, end>> by start and then by the rules' order.
     """
     rules = [*base, *added]
-    queries = [(n, trigram_query(r.pattern)) for n, r in enumerate(rules)]
-    indexed = [(n, q) for n, q in queries if q]
-    trigrams = sorted({x for _, q in indexed for clause in q for needed in clause for x in needed})
-    picked = materialize(candidates(postings(docs, trigrams), indexed, trigrams)).withColumnRenamed("doc_id", "_id")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).join(bounded(picked), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
-    tried = []
-    for n, rule in enumerate(rules):
-        own = matches(F.col("text"), n, rule)
-        tried.append(F.when(F.array_contains("rules", n), own).otherwise(none) if dict(indexed).get(n) else own)
-    found = rows.select("doc_id", F.array_sort(F.concat(*tried)).alias("secrets"))
+    queries = [trigram_query(r.pattern) for r in rules]
+    literals = sorted({own for q in queries for clause in q for own in clause}, key=sorted)
+    # a step each, so that what the next one uses often is computed once
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("low", F.lower("text"))
+    rows = rows.select("doc_id", "text", postings(F.col("low"), literals).alias("held"))
+    rows = rows.select("doc_id", "text", candidates(F.col("held"), queries, literals).alias("rules"))
+    tried = [F.when(F.get("rules", n), matches(F.col("text"), n, rule)).otherwise(F.expr(NO_SPANS)) for n, rule in enumerate(rules)]
+    found = rows.select("doc_id", F.sort_array(F.concat(*tried)).alias("secrets"))
     kinds = [r.kind for r in rules]
     counts = [_count_of(n).alias(f"n_{r.kind}") for n, r in enumerate(base)]
     of_base = F.filter("secrets", lambda s: s["kind"] < len(base))

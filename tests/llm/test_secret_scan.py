@@ -1,9 +1,11 @@
 import hashlib
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from entitylink.llm.secret_scan import ADDED, BASE, find_secrets, trigram_query
+from entitylink.llm.secret_scan import ADDED, BASE, candidates, find_secrets, postings, trigram_query
 
 from .helpers import documents, odd_rows
 
@@ -68,3 +70,28 @@ def test_query_shapes():
     assert trigram_query("ab|cde") == []
     assert trigram_query("abcd*") == [[frozenset({"abc"})]]
     assert trigram_query("[aA]bcx+") == [[frozenset({"abc"})]]
+
+
+def test_a_text_with_100_000_hits(spark):
+    """Building spans an element at a time would take minutes."""
+    word = "deadbeef00112233 "
+    text = "é " + word * 100_000 + "secret=abcdefghijkl"
+    start = time.time()
+    row = find_secrets(documents(spark, [(1, text)])).select("n_hex", "n_assign", "base_sha256").head()
+    assert time.time() - start < 60
+    want = ",".join([f"hex:{2 + 17 * k}:{18 + 17 * k}" for k in range(100_000)] + [f"assign:{2 + 17 * 100_000}:{len(text)}"])
+    assert (row.n_hex, row.n_assign, row.base_sha256) == (100_000, 1, hashlib.sha256(want.encode()).hexdigest())
+
+
+def test_candidates_hold_every_match(spark):
+    """Postings by literals give a rule wherever its pattern matches, and not where a trigram lacks."""
+    rows = [(n, t) for n, t in enumerate([*CASES, "pass word akia gh xox", "KEN token", None, ""])]
+    rules = [trigram_query(r.pattern) for r in (*BASE, *ADDED)]
+    literals = sorted({own for q in rules for clause in q for own in clause}, key=sorted)
+    held = postings(F.lower(F.coalesce("text", F.lit(""))), literals)
+    got = documents(spark, rows).select("doc_id", candidates(held, rules, literals).alias("rules")).collect()
+    for r in got:
+        text = rows[r.doc_id][1] or ""
+        must = [bool(re.search(x.pattern, text)) for x in (*BASE, *ADDED)]
+        may = [all(any(all(x in text.lower() for x in own) for own in clause) for clause in q) for q in rules]
+        assert r.rules == may and all(b or not a for a, b in zip(must, may, strict=True))
