@@ -13,13 +13,12 @@ files are never seen), one row for each block of whole documents:
 Parts are ranges of doc_id in ascending order.  Ids before a document: those of earlier parts (a
 sum over one row a part), of earlier blocks of its part, and of earlier documents of its block.
 
-Cases: null or empty texts have the end id alone.  Null doc_ids come first.  Rows with the same
+Cases: null or empty texts have the end id alone; a very long one has a block of its own.  Null doc_ids come first.  Rows with the same
 doc_id stand in the order of a hash of their text.  An empty table gives no documents.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -30,14 +29,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import checkpoint_dir, read, ship
+from .common import bounded, materialize, read, scratch, ship
 from .tokens import WordEncoder, chunks, default_tokenizer, with_end
 
 BLOCKS = "part int, block int, start_in_part long, n_ids long, doc_ids array<long>, doc_counts array<long>, offsets array<long>, words binary"
 #: Ids at which a block is closed.
 BLOCK_IDS = 1 << 16
-#: Words that a worker keeps: nothing else of size stands beside them here.
-TABLE_WORDS = 800_000
+#: Words that a worker keeps.
+TABLE_WORDS = 400_000
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1) -> None:
@@ -77,8 +76,9 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids, array<long>, if asked for) from the files."""
     blocks = spark.read.schema(BLOCKS).parquet(path)
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("_n"))
-    # a row a part: the one small table that is summed in a single task
-    base = parts.withColumn("_base", F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).drop("_n")
+    # a row for each part, so no more than the tasks that wrote them: summed in one task, counted
+    # and broadcast, so that blocks stay where they are read
+    base = bounded(materialize(parts.withColumn("_base", F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).drop("_n")))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,6 +99,6 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{checkpoint_dir(spark)}/token-output-{uuid.uuid4().hex}"
+    path = scratch(spark, "token-output")
     write_tokens(read(spark, sf_dir, "documents"), path)
     return read_tokens(spark, path, ids=False)

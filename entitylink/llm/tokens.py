@@ -1,8 +1,9 @@
 """Whole texts to token ids with the tokenizers library, each distinct word encoded once.
 
-The public vocabularies used here cut texts at white space before anything else, so the ids of a
-text are those of its words in order.  Words are cut at ASCII white space only and looked up in a
-table that is bounded by a number of words and kept by a worker between tasks.
+A vocabulary of words lower-cases texts and cuts them at white space before anything else, so the
+ids of a text are those of its words in order.  Words are cut at ASCII white space only and looked
+up in a table that is bounded by a number of words and kept by a worker between tasks.  A tokenizer
+whose normaliser, pre-tokenizer or answers to PROBES are not so encodes whole texts instead.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ TABLE_WORDS = 450_000
 CHUNK_BYTES = 1 << 20
 
 
+#: Texts that tell whether a tokenizer cuts words as this module does.
+PROBES = (b"One word, TWO  words.\n\tthree's 12 words", "Ünïcode wörds\r\n\x0band 漢字 with — marks".encode(), b" leading don't  trailing ")
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -50,12 +55,12 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items()]
-        if not special:
-            raise ValueError("the tokenizer needs a special token, to set words apart")
         self.reserved = [text.lower().encode() for _, text in special]
-        self.mark_id, self.mark = special[-1]
+        self.mark_id, self.mark = special[-1] if special else (-1, "")
         self.table_words = table_words
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        settings = json.loads(self.tokenizer.to_str())
+        self.by_words = bool(special) and all(b"<" in x for x in self.reserved) and self._cuts_words(settings)
+        suffix = settings["model"].get("end_of_word_suffix")
         self.ends = None  # ids that end a pre-token
         if suffix:
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -70,11 +75,35 @@ class WordEncoder:
         cls._kept[path].table_words = table_words
         return cls._kept[path]
 
+    def _cuts_words(self, settings: dict) -> bool:
+        """Whether the ids of a text are those of its lower-cased words in order."""
+        steps = settings.get("normalizer") or {}
+        kinds = {x.get("type") for x in [steps, *steps.get("normalizers", [])]}
+        if "Lowercase" not in kinds or not settings.get("pre_tokenizer") or kinds & {"Prepend", "Precompiled"}:
+            return False
+        return all(
+            np.array_equal(self._whole(text), np.concatenate([self._whole(w) for w in text.lower().split()]))
+            and np.array_equal(self._whole(self.mark.encode().join(text.split())), np.concatenate([x for w in text.split() for x in (self._whole(w), [self.mark_id])][:-1]))
+            for text in PROBES
+        )
+
     def _reset(self) -> None:
         self.table = _Table()
         self.ids = np.empty(0, np.uint32)
         self.starts = np.empty(0, np.int64)
         self.counts = np.empty(0, np.int64)
+        self.seen = np.empty(0, np.int64)
+
+    def _trim(self) -> None:
+        """Forget words that came once, and the rarest of the others if they fill half the table."""
+        kept = np.argsort(-self.seen, kind="stable")[: self.table_words // 2]
+        kept = np.sort(kept[self.seen[kept] > 1])
+        words, starts, counts, seen, ids = list(self.table), self.starts[kept], self.counts[kept], self.seen[kept] // 2, self.ids
+        self._reset()
+        self.table.update(zip((words[k] for k in kept.tolist()), range(len(kept)), strict=True))
+        ends = np.cumsum(counts)
+        self.ids = ids[np.repeat(starts - ends + counts, counts) + np.arange(counts.sum())]
+        self.starts, self.counts, self.seen = ends - counts, counts, seen
 
     def _whole(self, text: bytes) -> np.ndarray:
         one = self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0]
@@ -136,8 +165,11 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each text has."""
+        if not self.by_words:
+            found = [self._whole(t) if t else np.empty(0, np.uint32) for t in texts]
+            return np.concatenate([np.empty(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
         if len(self.table) > self.table_words:
-            self._reset()
+            self._trim()
         words: list[bytes] = []
         ends, odd = [], {}
         for n, text in enumerate(texts):
@@ -152,6 +184,7 @@ class WordEncoder:
         at = np.fromiter(map(self.table.__getitem__, words), np.int64, len(words))
         if self.table.new:
             self._learn()
+        self.seen = np.bincount(at, minlength=len(self.table)) + np.concatenate((self.seen, np.zeros(len(self.table) - len(self.seen), np.int64)))
         counts = self.counts[at]
         total = np.concatenate(([0], np.cumsum(counts)))
         ids = self.ids[np.repeat(self.starts[at] - total[:-1], counts) + np.arange(total[-1])]

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from entitylink.llm import simple8b
 from entitylink.llm.token_output import read_tokens, write_tokens
-from entitylink.llm.tokens import default_tokenizer
+from entitylink.llm.tokens import WordEncoder, default_tokenizer
 
 from .helpers import documents, odd_rows
 
@@ -56,3 +56,24 @@ def test_empty(spark, tmp_path):
     path = str(tmp_path / "none")
     write_tokens(documents(spark, []), path)
     assert read_tokens(spark, path).count() == 0
+
+
+def test_tokenizers_that_do_not_cut_words(spark, tmp_path):
+    """Ids are those of the library for a vocabulary that keeps case and blanks, too."""
+    import public_tokenizers
+
+    name = public_tokenizers.path("byte_bpe_50k.json")
+    assert not WordEncoder(name).by_words and WordEncoder(default_tokenizer()).by_words
+    rows = [(i, t) for i, t in odd_rows() if i != 8]
+    path = str(tmp_path / "bytes")
+    write_tokens(documents(spark, rows), path, tokenizer=name, end_id=50256)
+    tokenizer = Tokenizer.from_file(name)
+    got = {r.doc_id: r.ids for r in read_tokens(spark, path).collect() if r.doc_id is not None}
+    assert got == {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 50256] for i, t in rows if i is not None}
+
+
+def test_reading_moves_no_blocks(spark, tmp_path):
+    path = str(tmp_path / "tokens")
+    write_tokens(documents(spark, odd_rows()), path)
+    plan = read_tokens(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
