@@ -36,7 +36,7 @@ BLOCKS = "part int, block int, start_in_part long, n_ids long, doc_ids array<lon
 #: Ids at which a block is closed.
 BLOCK_IDS = 1 << 16
 #: Words that a worker keeps.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 600_000
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1) -> None:

@@ -1,8 +1,8 @@
 """Whole texts to token ids with the tokenizers library, each distinct word encoded once.
 
 A vocabulary of words lower-cases texts and cuts them at white space before anything else, so the
-ids of a text are those of its words in order.  Words are cut at ASCII white space only and looked
-up in a table that is bounded by a number of words and kept by a worker between tasks.  A tokenizer
+ids of a text are those of its words in order.  Words are cut at ASCII white space only, punctuation
+after them is set apart, and they are looked up in a table that is bounded by a number of words and kept by a worker between tasks.  A tokenizer
 whose normaliser, pre-tokenizer or answers to PROBES are not so encodes whole texts instead.
 """
 
@@ -12,6 +12,7 @@ import contextlib
 import ctypes
 import json
 import os
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ CHUNK_BYTES = 1 << 20
 
 
 #: Texts that tell whether a tokenizer cuts words as this module does.
-PROBES = (b"One word, TWO  words.\n\tthree's 12 words", "Ünïcode wörds\r\n\x0band 漢字 with — marks".encode(), b" leading don't  trailing ")
+PROBES = (b"One word, TWO  words.\n\tthree's 12 words...?! a*b=c$ d_# e", b"(x) 'y' z'! 7% q\"", "Ünïcode wörds\r\n\x0band 漢字 with — marks".encode(), b" leading don't  trailing ")
 
 
 def default_tokenizer() -> str:
@@ -82,7 +83,7 @@ class WordEncoder:
         if "Lowercase" not in kinds or not settings.get("pre_tokenizer") or kinds & {"Prepend", "Precompiled"}:
             return False
         return all(
-            np.array_equal(self._whole(text), np.concatenate([self._whole(w) for w in text.lower().split()]))
+            np.array_equal(self._whole(text), np.concatenate([self._whole(w) for w in _words(text.lower())]))
             and np.array_equal(self._whole(self.mark.encode().join(text.split())), np.concatenate([x for w in text.split() for x in (self._whole(w), [self.mark_id])][:-1]))
             for text in PROBES
         )
@@ -92,18 +93,6 @@ class WordEncoder:
         self.ids = np.empty(0, np.uint32)
         self.starts = np.empty(0, np.int64)
         self.counts = np.empty(0, np.int64)
-        self.seen = np.empty(0, np.int64)
-
-    def _trim(self) -> None:
-        """Forget words that came once, and the rarest of the others if they fill half the table."""
-        kept = np.argsort(-self.seen, kind="stable")[: self.table_words // 2]
-        kept = np.sort(kept[self.seen[kept] > 1])
-        words, starts, counts, seen, ids = list(self.table), self.starts[kept], self.counts[kept], self.seen[kept] // 2, self.ids
-        self._reset()
-        self.table.update(zip((words[k] for k in kept.tolist()), range(len(kept)), strict=True))
-        ends = np.cumsum(counts)
-        self.ids = ids[np.repeat(starts - ends + counts, counts) + np.arange(counts.sum())]
-        self.starts, self.counts, self.seen = ends - counts, counts, seen
 
     def _whole(self, text: bytes) -> np.ndarray:
         one = self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0]
@@ -169,7 +158,7 @@ class WordEncoder:
             found = [self._whole(t) if t else np.empty(0, np.uint32) for t in texts]
             return np.concatenate([np.empty(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
         if len(self.table) > self.table_words:
-            self._trim()
+            self._reset()
         words: list[bytes] = []
         ends, odd = [], {}
         for n, text in enumerate(texts):
@@ -179,12 +168,11 @@ class WordEncoder:
                 if b"<" in low and any(mark in text.lower() for mark in self.reserved):
                     odd[n] = self._whole(text)
                 else:
-                    words += low.split()
+                    words += _words(low)
             ends.append(len(words))
         at = np.fromiter(map(self.table.__getitem__, words), np.int64, len(words))
         if self.table.new:
             self._learn()
-        self.seen = np.bincount(at, minlength=len(self.table)) + np.concatenate((self.seen, np.zeros(len(self.table) - len(self.seen), np.int64)))
         counts = self.counts[at]
         total = np.concatenate(([0], np.cumsum(counts)))
         ids = self.ids[np.repeat(self.starts[at] - total[:-1], counts) + np.arange(total[-1])]
@@ -197,6 +185,16 @@ class WordEncoder:
         return ids, each
 
 
+#: ASCII punctuation but the apostrophe, after a-z and before white space: a piece of its own.
+_TAIL = re.compile(rb"[!-&(-/:-@\[-`{-~](?<=[a-z].)[!-&(-/:-@\[-`{-~]*(?=[ \t\n\r\x0b\f]|$)")
+
+
+def _words(low: bytes) -> list[bytes]:
+    """The words of a lower-cased text, with the punctuation after plain words set apart, so that a
+    word is the same word before a comma."""
+    return _TAIL.sub(rb" \g<0>", low).split()
+
+
 def _pre_tokens(word: bytes) -> int:
     """1 for letters, 2 for letters and then full stops or commas, 0 if it is neither."""
     core = word.rstrip(b",.")
