@@ -4,12 +4,14 @@ A word's score for a language is the log likelihood of the byte 4-grams in it (w
 from counts in documents whose language is given.  The scripts of a word, told by ranges of UTF-8
 lead bytes, leave only the languages that were seen in them.  The best path through a document's
 words, with a penalty for each switch of language, labels spans; the document's language is the
-one with the most bytes of words, and its score is that share.
+one with the most letters (characters, whatever bytes they take), and its score is that share.
 
 Counts come from the documents with a language, except those held out, of which the `most` rows
 with the smallest hashed ids are taken, whatever the size of the table.
 
-Cases: `und`, score 0, for null texts and texts without a letter, and for all if nothing could be
+Cases: of languages with the same score, and of shares that are equal, the first in alphabetical
+order is taken.  Very long texts are labelled whole, as a group of their own.  `und`, score 0, for
+null texts and texts without a letter, and for all if nothing could be
 learned.  A null doc_id hashes as the empty text.  Repeated rows are labelled each.  An empty table
 gives an empty result; other columns are ignored.
 """
@@ -31,8 +33,8 @@ UNKNOWN = "und"
 BITS = 16
 #: Scripts by UTF-8 lead bytes (a range of code points each); 0 tells nothing.
 SCRIPTS = {"latin": range(0xC3, 0xCC), "greek": range(0xCE, 0xD0), "cyrillic": range(0xD0, 0xD5), "hebrew": range(0xD6, 0xD8), "arabic": range(0xD8, 0xDC), "indic": range(0xE0, 0xE1), "kana": range(0xE3, 0xE4), "han": range(0xE4, 0xEA), "hangul": range(0xEA, 0xEE)}
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: Which code points of the basic plane are letters.
+_ALPHA = np.array([chr(c).isalpha() for c in range(1 << 16)])
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SCRIPT = np.zeros(256, np.uint8)
@@ -60,9 +62,32 @@ def grams(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, edges[::2], edges[1::2]
 
 
+def lowered(text: bytes) -> bytes:
+    """Lower case, with as many code points as before."""
+    if text.isascii():
+        return text.lower()
+    whole = text.decode("utf-8", "replace")
+    low = whole.lower()
+    return (low if len(low) == len(whole) else "".join(c.lower() if len(c.lower()) == 1 else c for c in whole)).encode()
+
+
+def letters(data: np.ndarray) -> np.ndarray:
+    """For each byte, whether a letter starts there."""
+    if not len(data) or data.max() < 0x80:
+        return _ALPHA[data]
+    first = (data & 0xC0) != 0x80
+    out = np.zeros(len(data), bool)
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
+    own = _ALPHA[np.minimum(points, 0xFFFF)]
+    beyond = np.flatnonzero(points > 0xFFFF)
+    own[beyond] = [chr(p).isalpha() for p in points[beyond].tolist()]
+    out[first] = own
+    return out
+
+
 def joined(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased bytes with a space after each text, and the ends of the texts."""
-    parts = [(t or b"").lower() for t in texts]
+    parts = [lowered(t or b"") for t in texts]
     data = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
     return data, np.cumsum([len(p) + 1 for p in parts])
 
@@ -84,12 +109,12 @@ class Model:
         cut = np.stack((starts, stops + 1), axis=1).ravel()
         cut = cut[:-1] if cut[-1] >= len(data) else cut
         over = lambda f, v: f.reduceat(v, cut)[::2]
-        letters = over(np.add, _LETTER[data].astype(np.int64))
+        weight = over(np.add, letters(data).astype(np.int64))
         script = over(np.maximum, _SCRIPT[data])
         out = np.stack([over(np.add, table[code]) for table in self.scores], axis=1)
         out[~self.allowed[script]] -= 1e4
-        out[letters == 0] = 0
-        return out - out.max(axis=1, keepdims=True), letters, starts, stops, each
+        out[weight == 0] = 0
+        return out - out.max(axis=1, keepdims=True), weight, starts, stops, each
 
 
 def viterbi(scores: np.ndarray, each: np.ndarray, penalty: float) -> np.ndarray:
@@ -149,9 +174,9 @@ def learn(docs: DataFrame, most: int = 30_000, smoothing: float = 0.5) -> Model
                 if not len(starts):
                     continue
                 cut = np.stack((starts, stops), axis=1).ravel()
-                letters = np.add.reduceat(_LETTER[data].astype(np.int64), cut)[::2] > 0
-                script = np.maximum.reduceat(_SCRIPT[data], cut)[::2][letters]
-                part = np.repeat(letters, stops - starts + 1)
+                lettered = np.add.reduceat(letters(data).astype(np.int64), cut)[::2] > 0
+                script = np.maximum.reduceat(_SCRIPT[data], cut)[::2][lettered]
+                part = np.repeat(lettered, stops - starts + 1)
                 where = np.repeat(starts, stops - starts + 1) + np.arange(len(part)) - np.repeat(np.cumsum(stops - starts + 1) - (stops - starts + 1), stops - starts + 1)
                 total = counts.setdefault(lang, np.zeros(size, np.int64))
                 total += np.bincount(code[where[part]], minlength=size)
@@ -201,10 +226,10 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = 8.0, group_b
                 at = 0
                 for p in parts:
                     for n in p[4].tolist():
-                        text, begin = texts[at] or b"", end
+                        text, begin = lowered(texts[at] or b""), end
                         end += n
                         rows.append(_document(text, path[begin:end], weight[begin:end], starts[begin:end] - base, stops[begin:end] - base, names))
-                        base += len(text.lower()) + 1
+                        base += len(text) + 1
                         at += 1
                     base = 0
             else:
@@ -216,7 +241,7 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = 8.0, group_b
 
 
 def _document(text: bytes, path: np.ndarray, weight: np.ndarray, starts: np.ndarray, stops: np.ndarray, names: list[str]) -> tuple:
-    if not weight.any() or not any(map(str.isalpha, text.decode("utf-8", "replace"))):
+    if not weight.any():
         return UNKNOWN, 0.0, []
     shares = np.bincount(path, weight, len(names))
     best = int(shares.argmax())

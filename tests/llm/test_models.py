@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -186,3 +187,64 @@ def test_lm_counts_every_word_and_pair_apart(spark):
                 total -= math.log(0.7 * (pair_counts[k][v, w] - out * my_pairs[v, w]) / seen + 0.3 * alone if seen > 0 else alone)
             means.append(total / len(own))
         assert (r.target_loss, r.background_loss) == pytest.approx(means)
+
+
+def plain_words(text):
+    """Words with the buckets of their 4-grams, their letters and the largest lead byte's script."""
+    for word in re.split("[ \\t-\\r]+", text.lower()):
+        if word:
+            own = b"   " + word.encode() + b" "
+            grams = [int.from_bytes(own[i : i + 4], "big") * 2654435761 % (1 << 32) >> (32 - language_id.BITS) for i in range(len(own) - 3)]
+            yield grams, sum(c.isalpha() for c in word), max(int(language_id._SCRIPT[b]) for b in word.encode())
+
+
+def test_language_counts_and_scores_like_brute_force(spark):
+    rng = random.Random(8)
+    say = {
+        "en": lambda: rng.choice(["the", "WORDS", "of", "men", "shining", "12", "it's"]),
+        "fr": lambda: rng.choice(["Élan", "été", "les", "maisons", "où", "garçon", "—"]),
+        "ru": lambda: rng.choice(["Слово", "дом", "река", "ЛЕС", "и"]),
+        "el": lambda: rng.choice(["λόγος", "Σπίτι", "και"]),
+    }
+    rows = [(i, " ".join(say[lang]() for _ in range(rng.randrange(1, 12))), lang) for i in range(120) for lang in [rng.choice(list(say))]]
+    rows += [(200 + i, " ".join(say[rng.choice(list(say))]() for _ in range(20)), None) for i in range(20)]
+    rows += [(300, "😀 — 12", None), (301, "Дом дом the the the the", None), (302, "İstanbul the men", None)]
+    learned = [r for r in rows if r[2] and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    languages = sorted({r[2] for r in learned})
+    counts, scripts = {lang: Counter() for lang in languages}, {lang: Counter() for lang in languages}
+    for _, text, lang in learned:
+        for grams, n, script in plain_words(text):
+            if n:
+                counts[lang].update(grams)
+                scripts[lang][script] += 1
+    size = 1 << language_id.BITS
+    score = lambda lang, g: math.log((counts[lang][g] + 0.5) / (sum(counts[lang].values()) + 0.5 * size))
+    allowed = {s: {lang for lang in languages if s == 0 or scripts[lang][s] >= 0.001 * max(1, sum(scripts[lang].values()))} or set(languages) for s in range(len(language_id.SCRIPTS) + 1)}
+    model = language_id.learn(documents(spark, rows))
+    assert model.languages == languages
+    got = {r.doc_id: r for r in language_id.identify(documents(spark, rows), model).collect()}
+    for i, text, _ in rows:
+        paths = {lang: (0.0, ()) for lang in languages}
+        weights = []
+        for k, (grams, n, script) in enumerate(plain_words(text)):
+            weights.append(n)
+            own = {lang: (sum(score(lang, g) for g in grams) - (0 if lang in allowed[script] else 1e4)) if n else 0.0 for lang in languages}
+            best = max(total for total, _ in paths.values())
+            switch = next(p for t, p in paths.values() if t == best)
+            paths = {lang: ((t, p) if not k or t >= best - 8.0 else (best - 8.0, switch)) for lang, (t, p) in paths.items()}
+            paths = {lang: (t + own[lang], (*p, lang)) for lang, (t, p) in paths.items()}
+        if not sum(weights):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        path = max(paths.values(), key=lambda x: x[0])[1]
+        shares = {lang: sum(n for n, own in zip(weights, path, strict=True) if own == lang) for lang in languages}
+        assert got[i].lang_pred == max(languages, key=lambda x: shares[x]), (text, path)
+        assert got[i].score == pytest.approx(shares[got[i].lang_pred] / sum(weights))
+    assert got[301].lang_pred == "en" and got[301].score == pytest.approx(12 / 18)
+
+
+def test_letters_and_lower_case():
+    text = "Éa— 😀𝒳ßİ Ж1".encode()
+    data, ends = language_id.joined([text])
+    assert ends[0] == len(data) and data.tobytes() == "éa— 😀𝒳ßİ ж1 ".encode()
+    assert language_id.letters(data).sum() == sum(c.isalpha() for c in text.decode())
