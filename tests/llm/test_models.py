@@ -49,10 +49,45 @@ def test_views_teach_each_other():
     y = np.where(rng.random(2000) < 0.5, 1.0, 0.0)
     x = rng.normal(size=(2000, 5)) + 2.5 * (2 * y - 1)[:, None] * np.array([1, 1, 0, 0, 0])
     z = rng.normal(size=(2000, 3)) + 2.5 * (2 * y - 1)[:, None] * np.array([1, 0, 0])
-    marks = np.where(np.arange(2000) < 60, y, -1.0)
-    model = quality.co_train(x, z, marks)
-    _, _, p = model.score(x[60:], z[60:])
-    assert ((p > 0.5) == (y[60:] > 0.5)).mean() > 0.97
+    alone = quality.co_train(x[:60], z[:60], y[:60], None, rounds=0)
+    model = quality.co_train(x[:60], z[:60], y[:60], lambda m: m.lessons(x[60:], z[60:], 0.98))
+    right = [((m.score(x[60:], z[60:])[k] > 0.5) == (y[60:] > 0.5)).mean() for m in (alone, model) for k in range(3)]
+    assert right[5] > 0.97 and right[3] >= right[0] - 0.005 and right[4] >= right[1] - 0.005
+
+
+def test_quality_like_brute_force(spark):
+    """The fit and all scores against the same done on one machine, row after row."""
+    rows, labels = labelled(spark, 300)
+    rows = [(i, t, None if n % 29 == 0 else "en" if n % 4 else "fr") for n, (i, t) in enumerate([*rows, *odd_rows()])]
+    docs = documents(spark, rows)
+    marked = {i: int(n % 4 > 0) for n, (i, _, _) in enumerate(rows[:300]) if n % 2 == 0}
+    features = [(quality.content_features([t.encode() if t else None])[0].astype(float), quality.meta_features([lang], ["src"], [len(t) if t is not None else None])[0].astype(float)) for _, t, lang in rows]
+    own = sorted((n for n in range(300) if rows[n][0] in marked), key=lambda n: (zlib.crc32(str(rows[n][0]).encode()), rows[n][0]))
+    rest = [n for n in range(len(rows)) if rows[n][0] not in marked]
+
+    def lessons(model):
+        total = None
+        for n in rest:
+            one = model.lessons(features[n][0][None], features[n][1][None], 0.98)
+            total = one if total is None else tuple(a + b for a, b in zip(total, one, strict=True))
+        assert total[0][0] > 20 and total[1][0] > 20
+        return total
+
+    x, z = (np.stack([features[n][k] for n in own]) for k in range(2))
+    model = quality.co_train(x, z, np.array([marked[rows[n][0]] for n in own], float), lessons)
+    want = sorted((str(rows[n][0]), *(float(v[0]) for v in model.score(features[n][0][None], features[n][1][None]))) for n in range(len(rows)))
+    got = sorted((str(r.doc_id), r.p_content, r.p_meta, r.score) for r in quality.classify(docs, labels).collect())
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert np.allclose([g[1:] for g in got], [w[1:] for w in want], atol=1e-4)
+
+
+def test_quality_repeated_ids_and_labels_of_missing_documents(spark):
+    rows, labels = labelled(spark, 200)
+    gone = spark.createDataFrame([(100_000 + i, i % 2, 0) for i in range(500)], labels.schema)
+    docs = documents(spark, [*rows, *rows[:40], (100, "another text under a labelled id"), *odd_rows()])
+    some = quality.classify(docs, labels.union(gone), labelled=100).collect()
+    assert len(some) == len(rows) + 40 + 1 + len(odd_rows())
+    assert {(r.doc_id, round(r.score, 9)) for r in some if r.doc_id and r.doc_id > 110} == {(r.doc_id, round(r.score, 9)) for r in quality.classify(docs, labels, labelled=100).collect() if r.doc_id and r.doc_id > 110}
 
 
 def test_viterbi_is_the_best_path():
