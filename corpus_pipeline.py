@@ -4,17 +4,17 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that its predecesso
 writes every stage's result as Parquet to the shared folder and reads it again for the next, so a
 lost executor costs no more than the stage at hand.  All but the last return the columns of docs.
 
-Nulls: a null text counts as empty.  Rows without a doc_id pass the stages that drop by id, but
-for exact copies, of which one row stays.  Empty tables and further columns pass through.
+Nulls: a null text counts as empty.  Rows without a doc_id are judged by the classifier, for exact
+copies (of which one row stays) and for benchmark passages; near copies among them stay.  Every row
+is judged by itself, also where ids repeat.  Very long texts are taken whole.  Empty tables and
+further columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from entitylink.llm.common import checkpoint_dir, read
+from entitylink.llm.common import read, remove, scratch
 from entitylink.llm.decontamination import drop_contaminated
 from entitylink.llm.exact_dedup import drop_copies
 from entitylink.llm.minhash_dedup import drop_near_copies
@@ -62,9 +62,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for number, (name, stage) in enumerate(STAGES):
-        out = f"{folder}/{number}_{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+    before = None
+    for name, stage in STAGES:
+        folder = scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+        if before:
+            remove(spark, before)  # nothing reads it any more
+        before = folder
     return docs
