@@ -101,22 +101,31 @@ def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 HOT_ROWS = 256
 
 
-def hot_keys(rows: DataFrame, key: str, count: int) -> DataFrame:
-    """key, _copies: the keys that so many of the `count` rows share that they are split, and into
-    how many parts.  There are a thousand at most, however many rows there are."""
-    most = max(HOT_ROWS, count // 1000)
-    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(f"_n > {most}")
-    return materialize(counted.select(key, F.ceil(F.col("_n") / most).cast("int").alias("_copies")))
-
-
-def join_one(rows: DataFrame, one: DataFrame, key: str, count: int) -> DataFrame:
-    """rows joined with `one`, which has a narrow row for each key at most.  What belongs to hot
-    keys is broadcast (a thousand rows at most), so no task gets all rows of such a key."""
-    hot = hot_keys(rows, key, count).select(key)
-    if not hot.take(1):
-        return rows.join(one, key)
-    heads = F.broadcast(one.join(F.broadcast(hot), key, "left_semi"))
-    return rows.join(heads, key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(one, key))
+def hot_keys(rows: DataFrame, *keys: str) -> tuple[int, dict[int, int]]:
+    """How many rows there are, and the hot values of the key columns with how many rows hold them
+    (about).  One pass with partial sums gives both; there are some thousand at most, however many
+    rows there are.  They only tell how to join: a value that is missed costs time."""
+    found = rows.agg(F.count(F.lit(1)), *(F.expr(f"approx_top_k({k}, 1000, 16384)") for k in keys)).head()
+    totals: dict[int, int] = {}
+    for item in (x for top in found[1:] for x in top):
+        totals[item["item"]] = totals.get(item["item"], 0) + item["count"]
+    least = hot_from(found[0])
+    return found[0], {k: n for k, n in totals.items() if n > least}
+
+
+def hot_from(count: int) -> int:
+    """Rows that a key may have before it is hot."""
+    return max(HOT_ROWS, count // 1000)
+
+
+def join_one(rows: DataFrame, one: DataFrame, key: str, hot: dict[int, int], how: str = "inner") -> DataFrame:
+    """rows joined with `one`, which has a narrow row for each key at most.  The rows of `one` for hot
+    keys, some thousand at most, are broadcast, so that no task gets all rows of such a key."""
+    if not hot:
+        return rows.join(one, key, how)
+    is_hot = F.col(key).isin(list(hot))
+    apart = rows.filter(is_hot).join(F.broadcast(one.filter(is_hot)), key, how)
+    return apart.unionByName(rows.filter(~is_hot).join(one, key, how))
 
 
 #: Rows of a few numbers that a task of a small job gets at least.

@@ -8,14 +8,18 @@ Two sets of similarity s meet in some table with probability
 
 1. Texts with the same set are one node.  (A task signs each set once; copies add no table rows.)
 2. Rows (key, node) meet by key; keys with one node go.  Every node is tied to the smallest node
-   of each of its buckets: stars, not pairs.
+   of each of its buckets (or of its cell of a large bucket): stars, not pairs.
 3. A node's smallest candidate is confirmed on full sets, then the rest of its stars.  What is
    linked already is left out each time.
 4. Nodes of buckets that still hold several components are joined exactly, by prefixes of their
    sets, across components: no pair that meets in a table is left out.
 5. Components are taken by large-star and small-star rounds.
 
-Cases: null and empty texts, and white space alone, have an empty set and are linked with nothing.
+No task gets all rows of a hot bucket, star or component: large buckets are dealt to cells, what
+belongs to the centre of a star is broadcast or copied.  Sets are told by 64-bit hashes of their
+shingles; links between different sets are confirmed on the shingles themselves.
+
+Cases: very long texts are taken whole.  Null and empty texts, and white space alone, have an empty set and are linked with nothing.
 Rows that share a doc_id are one document.  Rows with a null doc_id are linked with nothing and
 kept (component_id is null).  An empty table gives an empty result; other columns are ignored.
 """
@@ -23,7 +27,6 @@ kept (component_id is null).  An empty table gives an empty result; other column
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import bounded, checkpoint_dir, materialize, parts_for, read, ship, without
+from .common import BROADCAST_ROWS, bounded, hot_from, hot_keys, join_one, materialize, parts_for, read, remove, scratch, ship, without
 from .components import components, merge_labels
 from .tokens import chunks
 
@@ -115,11 +118,45 @@ def table_rows(nodes: DataFrame) -> DataFrame:
 TASK_PAIRS = 1_000
 
 
-def confirmed(pairs: DataFrame, most: int, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) with 100 * intersection >= percent * union of their full sets.
-    most: the number of pairs or of texts, whichever is larger.
-
-    Sizes and sketches, a few bytes a node, rule out most others before texts are brought together."""
+#: Nodes of a bucket from which on it is dealt to cells, if they are a thousandth of all, too.
+CELL_NODES = 20_000
+#: One node in so many is looked at to find the buckets that are so large.
+LOOKED_AT = 64
+
+
+def bucket_stars(first: DataFrame, count: int) -> DataFrame:
+    """key, node, low: the nodes of buckets with several, and the smallest node beside each.
+
+    A bucket that may hold a large share of all nodes is dealt to cells (some thousand buckets are,
+    at most).  Its nodes are tied to the smallest one of their cell, and that one to the smallest
+    of all.  Which buckets are so large is told from one node in LOOKED_AT; a wrong guess costs
+    time only."""
+    rows = table_rows(first)
+    seen = first.filter(F.pmod(F.xxhash64("node", F.lit("look")), F.lit(LOOKED_AT)) == 0)
+    (found,) = table_rows(seen).agg(F.expr("approx_top_k(key, 4096, 65536)")).head()
+    each = max(CELL_NODES, count // 1000)
+    large = {x["item"]: x["count"] * LOOKED_AT for x in found if x["count"] * LOOKED_AT > each and x["count"] > 8}
+    if large:
+        # as many cells in all of them, so that nodes which share many large buckets share a cell in each
+        cell = F.pmod(F.xxhash64("node"), F.lit(-(-max(large.values()) // each)))
+        dealt = F.broadcast(first.sparkSession.createDataFrame([(k, True) for k in large], "key long, _dealt boolean"))
+        rows = rows.join(dealt, "key", "left").withColumn("_cell", F.when(F.col("_dealt"), cell)).drop("_dealt")
+    cell = Window.partitionBy("key", *["_cell"] * bool(large))
+    rows = rows.withColumn("low", F.min("node").over(cell)).withColumn("_high", F.max("node").over(cell))
+    rows = materialize(rows.filter("low < _high or _cell is not null" if large else "low < _high").drop("_high"))
+    if not large:
+        return rows
+    lows = F.broadcast(rows.filter("_cell is not null").groupBy("key").agg(F.min("node").alias("_least")))
+    lowest = F.when(F.col("node") == F.col("low"), F.coalesce("_least", "low")).otherwise(F.col("low"))
+    return materialize(rows.join(lows, "key", "left").select("key", "node", lowest.alias("low")))
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, n_nodes: int, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b; materialized) with 100 * intersection >= percent * union of their full sets.
+
+    Sizes and sketches, a few bytes a node, rule out most others before texts are brought together.
+    The text of a b that many pairs share is copied, once for every few pairs, so that no task gets
+    all texts beside it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, right = None, frozenset()
@@ -135,12 +172,20 @@ def confirmed(pairs: DataFrame, most: int, nodes: DataFrame, texts: DataFrame, w
                     keep.append(n)
             yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int64())), b.take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
+    count, hot = hot_keys(pairs, "b")
+    few, more = parts_for(pairs, max(count, n_nodes)), parts_for(pairs, max(count, n_nodes), TASK_PAIRS)
+    x, y = nodes.select(F.col("node").alias("a"), F.struct("n", "sketch").alias("x")), nodes.select(F.col("node").alias("b"), F.struct("n", "sketch").alias("y"))
+    like = join_one(pairs, y, "b", hot).coalesce(few).join(x, "a").coalesce(few).filter(may_link(percent, "x", "y")).select("a", "b")
     left = texts.select(F.col("node").alias("a"), F.col("body").alias("_ta"))
     right = texts.select(F.col("node").alias("b"), F.col("body").alias("_tb"))
-    x, y = nodes.withColumnRenamed("node", "a").alias("x"), nodes.withColumnRenamed("node", "b").alias("y")
-    few, more = parts_for(pairs, max(most, nodes.count())), parts_for(pairs, most, TASK_PAIRS)
-    pairs = pairs.join(x, "a").coalesce(few).join(y, "b").filter(may_link(percent, "x", "y")).select("a", "b").coalesce(few)
-    met = pairs.join(left, "a").coalesce(more).join(right, "b").select("a", "b", "_ta", "_tb")
+    beside = ["b"]
+    if hot:
+        copies = F.broadcast(pairs.sparkSession.createDataFrame([(b, -(-n // hot_from(count))) for b, n in hot.items()], "b long, _copies int"))
+        again = right.join(copies, "b").select("b", "_tb", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_copies") - 1))).alias("_copy"))
+        right = right.withColumn("_copy", F.lit(0)).unionByName(again)
+        like = like.join(copies, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("_copies", F.lit(1))).cast("int").alias("_copy"))
+        beside.append("_copy")
+    met = like.join(left, "a").coalesce(more).join(right, beside).select("a", "b", "_ta", "_tb")
     return materialize(met.mapInArrow(run, "a long, b long").coalesce(more).distinct().coalesce(few))
 
 
@@ -148,22 +193,18 @@ def between(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, texts: Data
     """Pairs (a, b) in different components among the nodes of buckets that hold several.
 
     Not all pairs of a bucket: two sets that are similar enough share one of their first
-    shingles in a common order, rare ones first (Xiao et al., 2008).  Each set's prefix is as long
+    shingles in a common order, rare ones first (Xiao et al., 2008).  Shingles that one component
+    has alone come before all others, as they join no two components.  Each set's prefix is as long
     as its size demands, and a meeting counts only if what is left behind it on both sides can
-    still reach the overlap that the two sizes demand, and if sketches allow it.  So a node whose
-    own text is too different from all others meets nobody, however large its bucket is, and texts
-    just below the threshold hardly meet.
+    still reach the overlap that the two sizes demand, and if sketches allow it.  Nodes of the
+    component that has a shingle most often are not laid beside each other, so a large group of
+    copies meets what is not of it, and not itself.
     """
-    key = Window.partitionBy("key")
-    mixed = (
-        buckets.select("key", "node")
-        .join(labels, "node")
-        .withColumn("_lo", F.min("component").over(key))
-        .withColumn("_hi", F.max("component").over(key))
-        .filter("_lo < _hi")
-        .select("node", "component")
-        .distinct()
-    )
+    spans = buckets.join(labels, "node").groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
+    keys = materialize(spans.filter("_lo < _hi").select("key"))
+    count = keys.count()
+    within = buckets.join(F.broadcast(keys), "key") if count <= BROADCAST_ROWS else join_one(buckets, keys, "key", hot_keys(buckets, "key")[1])
+    mixed = within.select("node").distinct().join(labels, "node")
 
     passed = ["node", "component"]
 
@@ -175,30 +216,37 @@ def between(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, texts: Data
 
     sets = texts.join(mixed, "node").select(*passed, "body").mapInArrow(run, "node long, component long, n long, _set array<long>")
     rows = sets.select(*passed, "n", F.explode("_set").alias("shingle"))
-    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    by_component = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("_n"))
+    shared = (
+        by_component.groupBy("shingle")
+        .agg(F.sum("_n").alias("df"), F.max(F.struct("_n", "component"))["component"].alias("most"), F.count(F.lit(1)).alias("_in"))
+        .filter("_in > 1").drop("_in")
+    )
     own = Window.partitionBy("node", "n")
     placed = (
         rows.join(shared, "shingle")
-        .withColumn("_alone", F.col("n") - F.count(F.lit(1)).over(own))  # its shingles that no other node has come first
+        .withColumn("_alone", F.col("n") - F.count(F.lit(1)).over(own))  # its shingles that no other component has come first
         .withColumn("at", F.col("_alone") + F.row_number().over(own.orderBy("df", "shingle")))
         .filter(f"at <= n - ceil(n * {percent} / 100.0) + 1")
         .join(nodes, ["node", "n"])  # rows are where the window had them
-        .select("shingle", *passed, "n", "at", "sketch")
+        .select("shingle", *passed, "most", "n", "at", "sketch")
     )
-    one, two = placed.alias("x"), placed.alias("y")
+    placed = materialize(placed)  # read twice
+    one, two = placed.filter("component <> most").alias("x"), placed.alias("y")
     met = one.join(two, "shingle").filter(
-        "x.node > y.node and x.component <> y.component"
+        "x.component <> y.component and (y.component = y.most or x.node > y.node)"
         f" and {may_link(percent, 'x', 'y')}"
         f" and {100 + percent} * (1 + least(x.n - x.at, y.n - y.at)) >= {percent} * (x.n + y.n)"
     )
-    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
 
 
 def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """a, b and their components, for pairs that are in different ones."""
+    pairs = materialize(pairs)
     a = labels.select(F.col("node").alias("a"), F.col("component").alias("_ca"))
     b = labels.select(F.col("node").alias("b"), F.col("component").alias("_cb"))
-    return pairs.join(a, "a").join(b, "b").filter("_ca <> _cb")
+    return materialize(join_one(pairs, b, "b", hot_keys(pairs, "b")[1]).join(a, "a").filter("_ca <> _cb"))
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, collections=COLLECTIONS) -> DataFrame:
@@ -208,30 +256,24 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, collections=
     reps = signed.filter("u is not null").withColumn("node", F.min("rep").over(Window.partitionBy("set_digest")))
     first = reps.filter("rep = node")
     nodes = materialize(first.select("node", F.col("n_shingles").alias("n"), "sketch"))
-    key = Window.partitionBy("key")
-    buckets = materialize(
-        table_rows(first)
-        .withColumn("low", F.min("node").over(key))
-        .withColumn("_high", F.max("node").over(key))
-        .filter("low < _high")
-        .drop("_high")
-    )
+    n_nodes = nodes.count()
+    buckets = bucket_stars(first, n_nodes)
     rows = buckets.count()
     buckets = buckets.coalesce(parts_for(buckets, rows))
     labels = materialize(buckets.select("node").distinct().withColumn("component", F.col("node")))
     folder, count = None, labels.count()
     labels = labels.coalesce(parts_for(labels, count))
     if count:
-        folder = f"{checkpoint_dir(spark)}/near-{uuid.uuid4().hex}"
+        folder = scratch(spark, "near")
         wanted = bounded(labels.select(F.col("node").alias("_node")))
         docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("body")).join(wanted, F.col("node") == F.col("_node")).drop("_node").distinct().coalesce(parts_for(labels, count, TASK_PAIRS)).write.parquet(folder)
         texts = spark.read.parquet(folder)
         stars = buckets.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-        nearest = confirmed(stars.groupBy("a").agg(F.min("b").alias("b")), count, nodes, texts, width, percent)
-        labels = merge_labels(labels, nearest)
+        nearest = materialize(stars.groupBy("a").agg(F.min("b").alias("b")).coalesce(parts_for(labels, count)))
+        labels = merge_labels(labels, confirmed(nearest, nodes, n_nodes, texts, width, percent))
         for pairs in (lambda: stars.distinct(), lambda: between(buckets, labels, nodes, texts, width, percent)):
-            left = materialize(apart(pairs(), labels))
-            links = confirmed(left.select("a", "b"), max(count, left.count()), nodes, texts, width, percent)
+            left = apart(pairs(), labels)
+            links = confirmed(left.select("a", "b"), nodes, n_nodes, texts, width, percent)
             joined = links.join(left, ["a", "b"]).select(F.col("_ca").alias("a"), F.col("_cb").alias("b"))
             labels = merge_labels(labels, joined)
     # back to all documents: set -> node -> component -> its smallest doc_id
@@ -239,12 +281,10 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, collections=
     low = signed.groupBy("rep").agg(F.min("doc_id").alias("_low"))
     of_rep = materialize(of_rep.join(low, "rep").join(labels, "node", "left").select("rep", "_low", F.coalesce("component", "node").alias("component")))
     least = materialize(of_rep.groupBy("component").agg(F.min("_low").alias("component_id")))
-    # a large component's rows can be split in this join, as nothing beside it needs them together
-    of_rep = materialize(of_rep.join(least, "component").select("rep", "component_id"))
+    of_rep = materialize(join_one(of_rep, least, "component", hot_keys(of_rep, "component")[1]).select("rep", "component_id"))
     of_rep = of_rep.groupBy("rep").agg(F.min("component_id").alias("component_id"))
     if folder:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, folder)
     ids = signed.select("doc_id", "rep", "n_shingles").join(of_rep, "rep", "left")
     ids = ids.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     done = ids.withColumn("kept", F.col("doc_id") == F.col("component_id"))
@@ -262,9 +302,21 @@ def _nameless(docs: DataFrame, width: int) -> DataFrame | None:
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each group; columns as they were."""
-    gone = near_groups(docs, **options).filter("not kept").select("doc_id").distinct()
-    return without(docs, materialize(gone))
+    """docs with one row of each group, the one with the smallest doc_id; columns as they were,
+    whatever their names.  Rows without a doc_id stay.  Where ids repeat, rows are numbered in the
+    order of their ids first (and written once), and every row counts for itself."""
+    ids = docs.select("doc_id").filter("doc_id is not null")
+    if not ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").take(1):
+        rows = docs.select(docs["doc_id"], docs["text"], F.struct(*[docs[c] for c in docs.columns]).alias("_of"))
+    else:
+        named = docs.filter("doc_id is not null")
+        own = named.select(named["doc_id"].alias("_id"), named["text"], F.struct(*[named[c] for c in docs.columns]).alias("_of"))
+        ordered = own.repartitionByRange("_id", F.xxhash64("text")).sortWithinPartitions("_id", F.xxhash64("text"))
+        rows = materialize(ordered.select(F.monotonically_increasing_id().alias("doc_id"), "text", "_of"))
+        bare = docs.filter("doc_id is null")
+        rows = rows.unionByName(bare.select(F.lit(None).cast("long").alias("doc_id"), "text", F.struct(*[bare[c] for c in docs.columns]).alias("_of")))
+    gone = near_groups(rows.select("doc_id", "text"), **options).filter("not kept").select("doc_id").distinct()
+    return without(rows.select("doc_id", "_of"), materialize(gone)).select("_of.*")
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from entitylink.llm import shingles
+from entitylink.llm import common, minhash_dedup, shingles
 from entitylink.llm.components import components
 from entitylink.llm.exact_dedup import digests, drop_copies, exact_groups, exchange
 from entitylink.llm.minhash_dedup import between, drop_near_copies, near_groups, sketches
@@ -122,6 +122,35 @@ def test_drop_near_copies(spark):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 3]
 
 
+def test_drop_near_copies_row_by_row(spark):
+    """A text that nobody else has stays, even under the id of a row that goes; so do other columns."""
+    text = "a b c d e f g h i j"
+    rows = [(1, text), (2, text.upper()), (2, "a text that nobody else has here"), (2, "a text that nobody else has here"), (None, text), (None, None), (3, None), (3, "")]
+    docs = documents(spark, rows).withColumnsRenamed({"score": "_of", "row": "_id", "shard": "node"})
+    left = drop_near_copies(docs)
+    assert left.columns == docs.columns
+    kept = Counter((r.doc_id, r.text) for r in left.collect())
+    assert kept == Counter([(1, text), (2, "a text that nobody else has here"), (None, text), (None, None), (3, None), (3, "")])
+    plain = docs.dropDuplicates(["doc_id"])
+    assert drop_near_copies(plain).columns == docs.columns
+
+
+def test_a_large_bucket_is_dealt_to_cells(spark, monkeypatch):
+    """Groups of near copies with cells of a few nodes, large stars and copied texts, as brute force has them."""
+    monkeypatch.setattr(minhash_dedup, "CELL_NODES", 8)
+    monkeypatch.setattr(minhash_dedup, "LOOKED_AT", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    rng = random.Random(11)
+    base = [rng.choice("abcdefghijklmnopqrstuvwxyz") * 3 + str(rng.randrange(50)) for _ in range(80)]
+    rows = varied(9, 60)
+    for i in range(100, 190):
+        own = list(base)
+        own[rng.randrange(80)] = f"x{i % 45}"
+        rows.append((i, " ".join(own)))
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in near_groups(documents(spark, rows), width=2).collect()}
+    assert got == brute_components(rows, 2, 80)
+
+
 def test_prefix_join_finds_all_pairs(spark):
     rows = [(i, t) for i, t in varied(3, 90) if t and t.strip()]
     sets = {i: shingles.plain_set(t.encode(), 2) for i, t in rows}
