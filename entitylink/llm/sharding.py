@@ -9,7 +9,8 @@ and every engine.
 
 Cases: a null doc_id is the empty key, so all such rows share a shard.  Null texts have size 1
 (no bytes plus 1) and the CRC of the empty string.  Repeated rows each get a slot of their own.
-An empty table gives an empty result; further columns of the input are ignored.
+Very long texts are read whole; rows of equal ids and texts are numbered in any order, as they are
+the same.  An empty table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -48,18 +49,17 @@ def _next_state(state: Column) -> Column:
     return total
 
 
-def jump_hash(key: Column, shards: int) -> Column:
-    """The shard (0 to shards - 1) of a 64-bit key.  Every jump goes up by one at least, so
-    `shards` steps always end; a key that has passed the last shard is left alone."""
-    n = F.lit(shards).cast("long")
+def jumps(key: Column, shards: int, soon: int | None = None) -> Column:
+    """struct<state, shard, next>: the last jump below `shards` and the one after it.
 
-    def step(at, _):
-        return F.when(at["next"] >= n, at).otherwise(_jumped(at))
+    A key jumps some ln(shards) times.  A few times as many steps end all but one walk in millions;
+    the rest take as many more as there are shards, of which each jump passes one at least.  soon:
+    the steps that all keys take, 8 + 4 * bits of shards by default."""
+    n = F.lit(shards).cast("long")
 
-    def _jumped(at):
-        state = _next_state(at["state"])
+    def jumped(at):
         return F.transform(
-            F.array(state),
+            F.array(_next_state(at["state"])),
             lambda s: F.struct(
                 s.alias("state"),
                 at["next"].alias("shard"),
@@ -67,8 +67,19 @@ def jump_hash(key: Column, shards: int) -> Column:
             ),
         )[0]
 
+    step = lambda at, _: F.when(at["next"] >= n, at).otherwise(jumped(at))
     start = F.struct(key.cast("long").alias("state"), F.lit(-1).cast("long").alias("shard"), F.lit(0).cast("long").alias("next"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step, lambda at: at["shard"]).cast("int")
+    soon = min(shards, soon or 8 + 4 * shards.bit_length())
+    first = F.aggregate(F.sequence(F.lit(1), F.lit(soon)), start, step)
+    if soon == shards:
+        return first
+    more = lambda at: F.when(at["next"] >= n, F.expr("cast(array() as array<int>)")).otherwise(F.sequence(F.lit(1), F.lit(shards)))
+    return F.transform(F.array(first), lambda at: F.aggregate(more(at), at, step))[0]
+
+
+def jump_hash(key: Column, shards: int) -> Column:
+    """The shard (0 to shards - 1) of a 64-bit key."""
+    return jumps(key, shards)["shard"].cast("int")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -77,14 +88,15 @@ def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
     The text is read once; what is numbered are rows of a few numbers.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    hashed = stable_key(F.col(key))
+    walked = docs.select(F.col(key), body.alias("_body"), jumps(stable_key(F.col(key)), shards).alias("_walk"))
     slim = materialize(
-        docs.select(
+        walked.select(
             F.col(key),
-            (F.octet_length(body).cast("long") + 1).alias("size"),
-            F.crc32(body.cast("binary")).alias("text_crc32"),
-            jump_hash(hashed, shards).alias("shard"),
-            jump_hash(hashed, shards + 1).alias("grown_shard"),
+            (F.octet_length("_body").cast("long") + 1).alias("size"),
+            F.crc32(F.col("_body").cast("binary")).alias("text_crc32"),
+            F.col("_walk.shard").cast("int").alias("shard"),
+            # with one shard more, a key moves to it if that is its next jump, and stays otherwise
+            F.when(F.col("_walk.next") == shards, F.lit(shards)).otherwise(F.col("_walk.shard").cast("int")).alias("grown_shard"),
         ).withColumn("_block", F.conv(F.substring(F.md5(F.concat_ws("/", F.col(key).cast("string"), F.col("text_crc32").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % BLOCKS)
     )
     done = number_within(slim, ["shard"], "_block", [F.col(key), F.col("text_crc32"), F.col("size")], "slot")
