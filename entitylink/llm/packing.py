@@ -95,7 +95,7 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
 def cut_pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(tokenizer)
-        for batch, texts in chunks(batches):
+        for batch, texts in chunks(batches, words=True):
             ids, each = with_end(*encoder.encode(texts), end_id)
             number = -(-each // capacity)
             of = np.repeat(np.arange(len(each)), number)
@@ -145,7 +145,7 @@ def packed_ids(docs: DataFrame, placed: DataFrame, capacity: int = 2048, tokeniz
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(path)
-        for batch, texts in chunks(batches):
+        for batch, texts in chunks(batches, words=True):
             ids, each = with_end(*encoder.encode(texts), end_id)
             ends = np.cumsum(each)
             out = []

@@ -45,7 +45,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, block, before = WordEncoder.of(name, TABLE_WORDS), TaskContext.get().partitionId(), 0, 0
-        for batch, texts in chunks(batches):
+        for batch, texts in chunks(batches, words=True):
             ids, each = with_end(*encoder.encode(texts), end_id)
             doc_ids = batch.column("doc_id")
             ends = np.cumsum(each)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Words that a worker's table may hold when a new chunk of texts starts.
-TABLE_WORDS = 450_000
+TABLE_WORDS = 200_000
 #: Bytes of text that are encoded at a time.
 CHUNK_BYTES = 1 << 20
 
@@ -208,10 +208,13 @@ def with_end(ids: np.ndarray, each: np.ndarray, end_id: int) -> tuple[np.ndarray
     return np.insert(ids, np.cumsum(each), end_id).astype("<u4"), each + 1
 
 
-def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES, words: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of the batches with about `most` bytes of text, and their texts (a binary column).
 
-    Workers are kept between tasks; what a task has freed goes back to the system at its end."""
+    Workers are kept between tasks; what a task has freed goes back to the system at its end.  The
+    tables of words that an earlier stage left behind go, too, unless `words` are to be encoded."""
+    if not words:
+        WordEncoder._kept.clear()
     for batch in batches:
         if not batch.num_rows:
             continue
