@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import shingles
 from .common import materialize, read, ship
-from .tokens import chunks
+from .tokens import chunks, release
 
 _PUNCTUATION = [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]
 _KINDS = {"lower": range(0x61, 0x7B), "upper": range(0x41, 0x5B), "digit": range(0x30, 0x3A), "blank": [0x20, 0x09], "line": [0x0A, 0x0D], "wide": range(0x80, 0x100), "mark": _PUNCTUATION} | {chr(b): [b] for b in _PUNCTUATION}
@@ -223,12 +223,13 @@ def taught(rows: DataFrame, model: Model, sure: float) -> tuple[np.ndarray, np.n
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), view, np.int32)), pa.array(at), pa.array(sums[at])], names=["view", "at", "value"])
 
-    added = rows.select("_text", "_lang", "_source", "_chars").mapInArrow(run, "view int, at long, value double").groupBy("view", "at").agg(F.sum("value").alias("value")).toPandas()
+    added = rows.select("_text", "_lang", "_source", "_chars").mapInArrow(run, "view int, at long, value double").groupBy("view", "at").agg(F.sum("value").alias("value")).toArrow()
+    view_of, at, value = (added.column(c).to_numpy() for c in ("view", "at", "value"))
     out = []
     for view, own in enumerate((model.content, model.meta)):
-        n, part = len(own.weights), added[added["view"] == view]
+        n, part = len(own.weights), view_of == view
         sums = np.zeros(1 + n + n * n)
-        sums[part["at"].to_numpy()] = part["value"].to_numpy()
+        sums[at[part]] = value[part]
         out.append(sums)
     return out[0], out[1]
 
@@ -251,13 +252,19 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 12_000, rounds: int
 
     own = rows.join(chosen, "doc_id").select(F.col("doc_id").cast("long"), F.col("_y").cast("int"), F.xxhash64("_text", "_lang", "_source", "_chars").alias("_order"), "_text", "_lang", "_source", "_chars")
     seen = own.mapInArrow(run, f"doc_id long, _y int, _order long, {VIEWED}")
-    seen = seen.groupBy("doc_id").agg(F.min_by(F.struct("_y", "content", "meta"), "_order").alias("of")).select("doc_id", "of.*").toPandas().sort_values("doc_id", ignore_index=True)
-    if seen.empty:
+    seen = seen.groupBy("doc_id").agg(F.min_by(F.struct("_y", "content", "meta"), "_order").alias("of")).select("doc_id", "of.*").toArrow()
+    if not seen.num_rows:
         return None
-    order = np.argsort([zlib.crc32(str(i).encode()) for i in seen.doc_id], kind="stable")
-    x, z = (np.stack(seen[c].to_numpy()).astype(np.float64)[order] for c in ("content", "meta"))
+    ids = seen.column("doc_id").to_pylist()
+    order = sorted(range(len(ids)), key=lambda n: (zlib.crc32(str(ids[n]).encode()), ids[n]))
+    x, z = (seen.column(c).combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order].astype(np.float64) for c in ("content", "meta"))
+    y = (seen.column("_y").to_numpy()[order] > 0).astype(float)
+    seen = None
     rest = rows.join(chosen.select("doc_id"), "doc_id", "left_anti")
-    return co_train(x, z, (seen._y.to_numpy()[order] > 0).astype(float), lambda model: taught(rest, model, sure), rounds)
+    model = co_train(x, z, y, lambda model: taught(rest, model, sure), rounds)
+    x = z = None
+    release()  # the driver's memory is bounded, too
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
