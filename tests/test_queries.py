@@ -36,7 +36,7 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-LONG_QUERIES = ["map_type_column"]
+LONG_QUERIES = ["map_type_column", "map_id"]
 
 
 @pytest.mark.parametrize("name", LONG_QUERIES)
